@@ -1,0 +1,444 @@
+"""The training-data operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from spanloom.llm import exact_dedup, line_dedup, lm, mil_quality, packing, pieces, pii, quality_rules, registry, simhash, toxicity
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " ", "\n\n", "a", "A a\ta", "x" * 5000, "word " * 3000, "é ü 漢字 😀", "a\u0000b", "tab\tand\nnew line\r\n"]
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def odd_rows():
+    rows = [(i, t, None, None, None) for i, t in enumerate(ODD)]
+    return [*rows, (2, ODD[2], "en", "s", 1), (None, "a null id", None, None, None), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("odd"))
+    frame(spark, odd_rows(), SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, None, None), (99, 1, 1), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_odd_rows(spark, odd_dir, name):
+    rows = registry.QUERIES[name](spark, odd_dir).collect()
+    ids = Counter(r.doc_id for r in rows)
+    assert set(ids) == {r[0] for r in odd_rows()}
+    if name != "op8_packing":
+        assert len(rows) == len(odd_rows())
+
+
+@pytest.mark.parametrize("name", list(registry.QUERIES))
+def test_empty_table(spark, empty_dir, name):
+    assert registry.QUERIES[name](spark, empty_dir).collect() == []
+
+
+# -- 1 -----------------------------------------------------------------------
+
+
+def slow_fingerprint(text, k=4):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(marks):
+    root = {k: k for k in range(len(marks))}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(marks)):
+        for b in range(a):
+            if (marks[a][1] ^ marks[b][1]).bit_count() <= 4:
+                root[find(a)] = find(b)
+    least = defaultdict(lambda: 1 << 62)
+    for k, (i, _) in enumerate(marks):
+        if i is not None:
+            least[find(k)] = min(least[find(k)], i)
+    return {(i, f"{m:016x}", least[find(k)]) for k, (i, m) in enumerate(marks)}
+
+
+def test_simhash_against_brute_force(spark, documents):
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.op1(spark, SF).collect()}
+    assert got == slow_components([(i, slow_fingerprint(t)) for i, t in documents])
+
+
+def test_simhash_of_odd_texts():
+    for t in ODD:
+        assert simhash.fingerprint(t) == slow_fingerprint(t)
+
+
+@pytest.mark.parametrize("m", [2, 3, 4, 5])
+def test_every_plan_finds_every_link(spark, monkeypatch, m):
+    r = random.Random(m)
+    base = [r.getrandbits(64) for _ in range(12)]
+    values = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 5))) for b in base for _ in range(8)}
+    signed = [simhash._signed(v) for v in values]
+    monkeypatch.setattr(simhash, "choose_segments", lambda n, radius=4: m)
+    got = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), len(signed)).collect()}
+    mask = (1 << 64) - 1
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 4}
+
+
+def test_plan_follows_size():
+    assert [simhash.choose_segments(n) for n in (10**5, 10**7, 10**11)] == [4, 3, 2]
+
+
+# -- 2 -----------------------------------------------------------------------
+
+
+def test_lm_base_against_brute_force(spark, documents):
+    counts, held = Counter(), {}
+    for i, t in documents:
+        held[i] = zlib.crc32(str(i).encode()) % 5 == 1
+        if not held[i]:
+            counts.update([*(t or "").encode().lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    rows = lm.op2(spark, SF).collect()
+    assert len(rows) == len(documents)
+    texts, better = dict(documents), []
+    for r in rows:
+        tokens = [*(texts[r.doc_id] or "").encode().lower().split(), None]
+        want = sum(np.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(t in counts for t in tokens), n)
+        assert r.base_score == pytest.approx(want, rel=1e-9)
+        assert r.score < 0
+        if r.held_out:
+            better.append(r.score - r.base_score)
+    assert sum(better) > 0
+
+
+def test_lm_is_a_distribution(spark, documents):
+    docs = spark.createDataFrame([(i, t, False) for i, t in documents], "id long, text string, held boolean")
+    vocab = lm.vocabulary(lm.word_counts(docs))
+    w = lm.train(docs, vocab)
+    x = lm.Batch([t for _, t in documents[:5]], vocab)
+    c = np.exp(lm.log_class(w, vocab, x.outer))
+    assert np.allclose(c.sum(1), 1, atol=1e-4)
+    inner = np.exp(lm.log_within(w, vocab, np.minimum(x.cls, lm.HEAD_CLASSES - 1), x.within))
+    assert np.allclose(inner.sum(1), 1, atol=1e-4)
+    assert vocab.n == sum(len((t or "").split()) + 1 for _, t in documents if True) or any(c in (t or "") for _, t in documents for c in "  ")
+
+
+# -- 3, 4 --------------------------------------------------------------------
+
+
+def auc(y, s):
+    order = np.argsort(s)
+    rank = np.empty(len(s))
+    rank[order] = np.arange(1, len(s) + 1)
+    pos = y == 1
+    return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(mil_quality.op3, "quality", 0.95), (toxicity.op4, "toxic", 0.8)])
+def test_held_out_labels(spark, query, label, least):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in query(spark, d).collect() if r.held_out and r.doc_id in labels]
+    y, s = np.array([labels[r.doc_id] for r in rows]), np.array([r.score for r in rows])
+    assert auc(y, s) > least
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+
+
+def test_attention_gradient():
+    r = np.random.default_rng(0)
+    m = mil_quality.GatedAttention(6, 4, 3)
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
+    x, first, n = r.normal(size=(9, 6)), np.array([0, 2, 6]), np.array([2, 4, 3])
+    y, weight = np.array([0.0, 1, 1]), np.array([1.0, 2, 0.5])
+
+    def loss():
+        p = m._forward(x, first, n)["y"]
+        return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / 3)
+
+    g = m._gradient(m._forward(x, first, n), first, n, y, weight)
+    for k, d in g.items():
+        flat, at = m.p[k].reshape(-1), r.integers(m.p[k].size)
+        flat[at] += 1e-5
+        up = loss()
+        flat[at] -= 2e-5
+        assert (up - loss()) / 2e-5 == pytest.approx(d.reshape(-1)[at], abs=1e-6)
+        flat[at] += 1e-5
+
+
+def test_deobfuscation():
+    grams = Counter()
+    for w, n in {"stupid": 50, "idiot": 50, "loser": 50, "trash": 50, "worthless": 40, "letter": 30, "the": 90, "there": 40, "lot": 30}.items():
+        toxicity.grams_of(w, n, grams)
+    model = toxicity.CharacterModel(grams)
+    for token, word in {"1d10t": "idiot", "st*pid": "stupid", "$tup1d": "stupid", "l0ser": "loser", "tr@sh": "trash", "stuuupid": "stupid", "i.d.i.o.t": "idiot", "w0rthl3ss!!": "worthless"}.items():
+        assert word in toxicity.words_of(token, model)
+    assert toxicity.spaced("you i d i o t there".split()) == ["idiot"]
+    for plain in ("letter", "word***", "a|b", "4366089147969128", "x.02@mail5.example.com", "12.5%"):
+        assert toxicity.disguised(plain) is None
+
+
+# -- 5 -----------------------------------------------------------------------
+
+
+def test_pieces_parity_and_round_trip(documents):
+    texts = [t for _, t in documents if t][:60] + [t for t in ODD if t and "\0" not in t] + ["  two  spaces ", "▁mark", "<s>", "é́", "\t"]
+    assert pieces.parity(pieces.default_model(), texts) == []
+
+
+def test_pieces_decode(spark, documents):
+    docs = spark.createDataFrame(documents[:40], "doc_id long, text string")
+    back = {r.id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
+    assert back == {i: t or "" for i, t in documents[:40]}
+
+
+def test_unigram_model_is_rebuilt():
+    def field(number, kind, payload):
+        out = bytes([number << 3 | kind]) if number < 16 else bytes([(number << 3 | kind) & 127 | 128, number >> 4])
+        return out + (bytes([len(payload)]) if kind == 2 else b"") + payload
+
+    import struct
+
+    rows = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -1.5, 1), ("a", -3.0, 1), ("▁", -2.5, 1)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in rows)
+    data += field(2, 2, field(3, 0, b"\x01"))
+    m = pieces.parse(data)
+    assert not m.bpe and [p[0] for p in m.pieces] == [r[0] for r in rows]
+    assert pieces.rebuild(m).encode("ab  a").tokens == ["▁ab", "▁a"]
+
+
+# -- 6 -----------------------------------------------------------------------
+
+
+def slow_spans(text):
+    found = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0:
+            found.append((2, *m.span()))
+    found += [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1290.@-+() %é\n", max_size=60))
+def test_base_spans_like_the_patterns(text):
+    assert pii.base_spans(text) == slow_spans(text)
+
+
+def test_pii_query(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in pii.op6(spark, d).collect():
+        want = slow_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for k, *_ in want) for j in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.listed(want).encode()).hexdigest()
+        assert set(filter(None, pii.listed(want).split(","))) <= set(r.spans.split(","))
+
+
+def test_trees_select():
+    s = pii.train()
+    x, y, kinds = pii._examples(1500, 99)
+    keep = s.scores(x) >= np.array(s.thresholds)[kinds]
+    assert y[keep].mean() > 0.95 and keep[y == 1].mean() > 0.7
+    text = "write to joe at home dot com, call (555) 123-4567; version 1.2.3.400, password=0bec99813b773c6855 ok"
+    assert pii.redacted(text, pii.spans(text, s)[1]) == "write to [EMAIL], call [PHONE]; version 1.2.3.400, password=[SECRET] ok"
+
+
+# -- 7, 9 --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", list(registry.SQL))
+def test_sql(spark, name, odd_dir):
+    for d, path in ((SF, f"{SF}/documents.parquet"), (odd_dir, f"{odd_dir}/documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        want = con.execute(registry.SQL[name]).fetchall()
+        columns = [c[0] for c in con.description]
+        got = [tuple(r) for r in registry.QUERIES[name](spark, d).select(*columns).collect()]
+        assert Counter(got) == Counter(want)
+
+
+def test_directory_doubles(spark):
+    r = random.Random(1)
+    keys = spark.createDataFrame([(r.getrandbits(63) - (1 << 62),) for _ in range(3000)] + [(5,)] * 400, "h long")
+    slots = exact_dedup.directory(keys, capacity=300)
+    held = keys.withColumn("slot", exact_dedup.slot(keys.h)).join(slots, "slot").groupBy("bucket").count().collect()
+    assert sum(x["count"] for x in held) == 3400
+    assert len(held) > 10 and all(x["count"] <= 300 or x.bucket >= 1 << exact_dedup.MAX_DEPTH for x in held)
+
+
+# -- 8 -----------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, odd_dir):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for d in (SF, "/root/testdata/sf0.01"):
+        texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        by_doc, by_seq = defaultdict(list), defaultdict(list)
+        for p in packing.op8(spark, d).collect():
+            by_doc[p.doc_id].append(p)
+            by_seq[p.sequence_id].append(p)
+        assert set(by_doc) == set(texts)
+        for i, own in by_doc.items():
+            ids = np.array([*t.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+            at = 0
+            for p in sorted(own, key=lambda p: p.start):
+                assert p.start == at and p.doc_tokens == len(ids)
+                assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+                at += p.length
+            assert at == len(ids)
+        used = padded = 0
+        for own in by_seq.values():
+            at = 0
+            for p in sorted(own, key=lambda p: p.offset):
+                assert p.offset == at
+                at += p.length
+            assert 0 < at <= 1024
+            used += at
+            padded += at if at & (at - 1) == 0 else 1024
+        assert used / padded > 0.99
+
+
+def test_ids_are_the_tokenizers(documents):
+    from tokenizers import Tokenizer
+
+    t, ids = Tokenizer.from_file(packing.default_tokenizer()), packing.Ids(packing.default_tokenizer())
+    assert ids.fast is not None
+    for text in [*(x or "" for _, x in documents), *(x or "" for x in ODD), "<|endoftext|> in text", "ſ's x　y", "  a  b\n\n c", "don't 12ab"]:
+        assert ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_is_best_fit(lengths):
+    bins = packing.best_fit(lengths, 64)
+    assert sorted(k for b in bins for k in b) == list(range(len(lengths)))
+    rooms, want = [], []
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        fits = [r for r in rooms if r >= lengths[k]]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - lengths[k])
+        else:
+            rooms.append(64 - lengths[k])
+    want = sorted(64 - r for r in rooms)
+    assert sorted(sum(lengths[k] for k in b) for b in bins) == want
+
+
+# -- 10 ----------------------------------------------------------------------
+
+
+def slow_line_dedup(rows):
+    """Every later document against every earlier one that first holds one of its lines."""
+    docs = sorted({(i, t) for i, t in rows})
+    first = {}
+    for i, t in docs:
+        for line in t.split("\n"):
+            if len(line.split()) >= 5:
+                first.setdefault(line.rstrip(), (i, t))
+    out = {}
+    for i, t in docs:
+        lines = t.split("\n")
+        bases = {first[x.rstrip()] for x in lines if len(x.split()) >= 5} - {(i, t)}
+        gone = set()
+        for _, e in bases:
+            for lo, hi in line_dedup.common_blocks([x.rstrip() for x in e.split("\n")], [x.rstrip() for x in lines], [len(x.split()) for x in lines]):
+                gone |= set(range(lo, hi))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in line_dedup.op10(spark, d).collect()}
+    assert {i: r.text for i, r in got.items()} == slow_line_dedup(rows)
+    assert any(r.n_removed for r in got.values())
+
+
+def test_line_dedup_cases(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"own one\n{passage}\nend here"), (2, f"other\n\n{passage}"), (3, "a clean text with words\nand a line more"), (4, passage), (4, passage)]
+    got = line_dedup.dedup_lines(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).withColumnRenamed("lang", "_line_id")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, rows[0][1]), (2, "other\n"), (3, rows[2][1]), (4, ""), (4, "")]
+    assert got[0].asDict().keys() == {"doc_id", "text", "_line_id", "source", "n_chars"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
+def test_patience_is_an_alignment(a, b):
+    pairs = line_dedup.patience(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
+def test_rules_compile(spark):
+    df = quality_rules.measured(spark.createDataFrame([(1, "the of " * 40 + "and more words here", "x")], "doc_id long, text string, _t string"))
+    assert df.columns[:3] == ["doc_id", "text", "_t"]
+    assert df.select(quality_rules.compile_rules([("n_words", 10, 100)])).first()[0]
+    assert not df.select(quality_rules.compile_rules([("n_words", 10, 20)])).first()[0]
+
+
+# -- pipeline ----------------------------------------------------------------
+
+
+def test_pipeline(spark, odd_dir, empty_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r for r in docs.collect()}
+    for k, (name, stage) in enumerate(p.STAGES):
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        if k < len(p.STAGES) - 1:
+            assert got.columns == docs.columns
+            assert {r.doc_id for r in rows} <= set(before)
+        if name in ("toxicity", "near_dedup"):
+            assert all(before[r.doc_id].text == r.text for r in rows)
+        if name == "near_dedup":
+            ids = {c for _, _, c in slow_components([(i, slow_fingerprint(r.text)) for i, r in before.items()])}
+            assert {r.doc_id for r in rows} == ids
+        if name == "pii":
+            assert not any(pii.base_spans(r.text) for r in rows)
+        if k < len(p.STAGES) - 1:
+            docs = spark.createDataFrame(rows, docs.schema)
+            before = {r.doc_id: r for r in rows}
+    assert {r.doc_id for r in rows} == set(before)
+    assert p.run(spark, odd_dir).count() > 0
+    assert p.run(spark, empty_dir).count() == 0
