@@ -214,7 +214,7 @@ def test_deobfuscation():
 
 
 def test_pieces_parity_and_round_trip(documents):
-    texts = [t for _, t in documents if t][:60] + [t for t in ODD if t and "\0" not in t] + ["  two  spaces ", "▁mark", "<s>", "é́", "\t"]
+    texts = [t for _, t in documents if t][:60] + [t for t in ODD if t and "\0" not in t] + ["  two  spaces ", "end ", " start", "▁", " ", "▁mark", "<s>", "é́", "\t"]
     assert pieces.parity(pieces.default_model(), texts) == []
 
 
