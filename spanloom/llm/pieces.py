@@ -18,6 +18,7 @@ encoded whole.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -183,8 +184,17 @@ class Codec:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
 
+#: Threads of a worker's encoder; more contend for its memory of words.
+THREADS = 2
+_codecs: dict[str, Codec] = {}
+
+
 def load(path: str) -> Codec:
-    return Codec(path)
+    """The codec of a model file, built once in a process."""
+    if path not in _codecs:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        _codecs[path] = Codec(path)
+    return _codecs[path]
 
 
 def parity(path: str, texts: list[str]) -> list[int]:
