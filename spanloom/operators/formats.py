@@ -161,7 +161,7 @@ TEI_UNDO: Rules = [
 
 
 def tei_out(root: Node) -> str:
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + rewrite_text(serialise(root), TEI_UNDO) + "\n"
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + rewrite_text(serialise(root).strip(), TEI_UNDO) + "\n"
 
 
 def strip_soft_hyphens(column: Column) -> Column:

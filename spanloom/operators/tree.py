@@ -419,8 +419,12 @@ def finish(styled: str, classes: TagClasses, found: Found, extend: bool = True,
 _SPACES = ("tf-space-before", "tf-space-prefix", "tf-space-suffix", "tf-space-after")
 
 
-def restore_spaces(root: Node, keep: bool = True) -> None:
-    """Noted blanks return to the edges of texts; with ``keep`` false (streams that keep blanks) notes are only dropped."""
+def restore_spaces(root: Node, keep: bool = True, added: bool = True) -> None:
+    """Noted blanks return to the edges of texts; with ``keep`` false (streams that keep blanks) notes are only dropped.
+
+    ``added``: blanks that a rewrite put beside an element go. The blank after
+    one comes back with the text that follows, as other tools have it.
+    """
 
     def visit(node: Node) -> None:
         kids = node.kids
@@ -442,9 +446,9 @@ def restore_spaces(root: Node, keep: bool = True) -> None:
                 if tail is not None:
                     n.text = regex.sub(f"{BLANK}+$", "", n.text) + tail
             elif n.kind == "e":
-                if n.pop("tf-added-before") is not None and i and kids[i - 1].kind == "t":
+                if added and n.pop("tf-added-before") is not None and i and kids[i - 1].kind == "t":
                     kids[i - 1].text = regex.sub(f"{BLANK}+$", "", kids[i - 1].text)
-                if n.pop("tf-added-after") is not None and i + 1 < len(kids) and kids[i + 1].kind == "t":
+                if added and n.pop("tf-added-after") is not None and i + 1 < len(kids) and kids[i + 1].kind == "t":
                     kids[i + 1].text = regex.sub(f"^{BLANK}+", "", kids[i + 1].text)
                 visit(n)
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.markers import BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, rewrite_text
 from ..operators import detect, formats, office
 from ..operators.spans import expand_text, normalise_text
-from ..operators.tree import Found, TagClasses, escape, finish, keep_regions, parse, restore_spaces, serialise
+from ..operators.tree import Found, TagClasses, escape, finish, keep_regions, parse, restore_spaces
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[s
     look = lambda tag, h: styles.get((tag, h))
     markup = expand_text(normalise_text(_PLACE.sub(text, skeleton), s.extend), look)
     root = parse(re.sub(r' tf-unique="\d+"', "", markup))
-    restore_spaces(root, keep=s.stream != "apertium")
+    restore_spaces(root, keep=s.stream != "apertium", added=fmt != "tei")
     hook = s.hook or (lambda x: x)
     if fmt in ZIPPED:
         back = {"docx": office.docx_out, "pptx": office.pptx_out}.get(fmt, office.odt_out)
@@ -241,6 +241,3 @@ def clean(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
         return fmt, *render_one(fmt, _doctype(text), found.skeleton, found.styles, None, data, s)
 
     return _map(_prepared(docs, s, id_col, content, name), one, _RENDERED_ARROW, "format string, text string, content binary", id_col)
-
-
-__all__ = ["Settings", "State", "accepted", "clean", "extract", "inject", "serialise", "unknown_blocks"]
