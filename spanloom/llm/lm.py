@@ -11,8 +11,7 @@ corpus, so the model is a distribution over all seen words and the unseen.
 
 Training: each task runs minibatch gradient steps over its part of the training
 documents; the weights are then averaged, each row by the tokens that moved it,
-in two levels of groups. Every document takes part; of its positions every
-STRIDE-th gives gradients, counts use them all.
+in two levels of groups. Every position of every document gives a gradient.
 
 Scoring: one pass computes everything that depends on context; rare words then
 meet their counts in a join. Words with more than 1/HEAVY of all tokens, of
@@ -42,7 +41,6 @@ HEAVY = 20_000
 HEAD, GROUP = 1024, 32
 HEAD_CLASSES, TAIL = HEAD // GROUP, 32
 CLASSES = HEAD_CLASSES + TAIL
-STRIDE = 3
 END = np.uint64(0x2545F4914F6CDD1D)
 FEATURE, PAIRS, INNER = 2048, 8192, 8192
 ROWS = 3 * FEATURE + PAIRS
@@ -209,7 +207,8 @@ def log_within(w: Weights, vocab: Vocabulary, cls: np.ndarray, within: np.ndarra
 
 def _descend(weights: np.ndarray, seen: np.ndarray, squares: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """Adagrad on the touched rows."""
-    order = np.argsort(rows, kind="stable")
+    # 16-bit keys are sorted by radix; ROWS and INNER fit
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     sorted_rows = rows[order]
     first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
     touched = sorted_rows[first]
@@ -235,16 +234,14 @@ def _trainer(shared_vocab, rate: float = 0.35):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, w = shared_vocab.value, Weights.zero()
         squares_o, squares_i = np.zeros(ROWS, np.float32), np.zeros(INNER, np.float32)
-        any_rows, turn = False, 0
+        any_rows = False
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in steps(texts):
                 any_rows = True
                 x = Batch(texts[lo:hi], vocab)
-                picked = np.arange(turn % STRIDE, len(x.h), STRIDE)
-                turn += 1
-                for at in range(0, len(picked), CHUNK):
-                    j = picked[at : at + CHUNK]
+                for at in range(0, len(x.h), CHUNK):
+                    j = np.arange(at, min(at + CHUNK, len(x.h)))
                     outer, cls = x.outer[:, j], x.cls[j]
                     g = np.exp(log_class(w, vocab, outer))
                     g[np.arange(len(j)), cls] -= 1

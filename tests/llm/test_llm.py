@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -156,6 +158,15 @@ def test_lm_is_a_distribution(spark, documents):
     assert vocab.n == sum(len((t or "").split()) + 1 for _, t in documents if True) or any(c in (t or "") for _, t in documents for c in "  ")
 
 
+def test_lm_gradients_at_every_position(spark, documents):
+    texts = [t for _, t in documents]
+    vocab = lm.vocabulary(lm.word_counts(spark.createDataFrame([(t, False) for t in texts], "text string, held boolean")))
+    parts = [r for b in lm._trainer(SimpleNamespace(value=vocab))(iter([pa.record_batch({"text": texts})])) for r in b.to_pylist()]
+    moved = sum(np.frombuffer(r["seen"], np.float32).sum() for r in parts)
+    x = lm.Batch(texts, vocab)
+    assert moved == len(x.outer) * len(x.h) + x.head.sum()
+
+
 # -- 3, 4 --------------------------------------------------------------------
 
 
