@@ -4,8 +4,9 @@ Words that look disguised (leet signs among letters, letters repeated three
 times or more, letters set apart by spaces or points) become a lattice of
 characters: a sign stands for the letters it imitates, a repeated letter may be
 dropped, a separator vanishes. Viterbi decoding under a character language
-model of order ORDER picks the likeliest word. Plain words have a lattice of
-one path and are taken as they stand.
+model of order ORDER picks the likeliest word. Tokens of any length are decoded,
+in time linear in it. Plain words have a lattice of one path and are taken as
+they stand.
 
 A document is scored from its restored words: words and word beginnings have a
 lower bound of their log odds of toxic against clean documents, learnt from
@@ -50,7 +51,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _LEET = re.compile(r"[013456789@$!|+€(£¡*#]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(r"(?:[^\s][.\-_~*/\\,]){2,}[^\s]")
+_WIDE = re.compile(r"(?:[^\s.\-_~*/\\,][.\-_~*/\\,]+){2,}[^\s.\-_~*/\\,]")
+_RUN = re.compile(r"(.)\1+")
+_LONG = re.compile(r"(.)\1{3,}")
 _EDGE = ".,;:?!\"'()[]{}<>|&%*#$+-_/\\~“”‘’…"
+_LEAD = "".join(c for c in _EDGE if c not in "$+(")
 
 
 class CharacterModel:
@@ -107,40 +112,54 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: CharacterModel, beam: int = BEAM) -> str:
-    """The likeliest word behind ``token``: Viterbi over (last letters), widest ``beam`` states."""
-    states: dict[str, tuple[float, str]] = {"^": (0.0, "")}
-    for options in lattice(token):
-        new: dict[str, tuple[float, str]] = {}
-        for history, (cost, word) in states.items():
+def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel, beam: int) -> list[str]:
+    """What each place of a lattice stands for: Viterbi over (last letters), widest ``beam`` states."""
+    states: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
+    for options in options_of:
+        new: dict[str, tuple[float, tuple | None]] = {}
+        for history, (cost, path) in states.items():
             for letter, extra in options:
                 if letter:
-                    key, c, w = (history + letter)[-(ORDER - 1) :], cost + extra + model.cost(history, letter), word + letter
+                    key, c = (history + letter)[-(ORDER - 1) :], cost + extra + model.cost(history, letter)
                 else:
-                    key, c, w = history, cost + extra, word
+                    key, c = history, cost + extra
                 if key not in new or c < new[key][0]:
-                    new[key] = (c, w)
+                    new[key] = (c, (letter, path))
         if len(new) > beam:
             new = dict(sorted(new.items(), key=lambda x: x[1][0])[:beam])
         states = new
-    return min((cost + model.cost(history, "$"), word) for history, (cost, word) in states.items())[1]
+    path = min((cost + model.cost(history, "$"), history, path) for history, (cost, path) in states.items())[2]
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return out[::-1]
+
+
+def decode(token: str, model: CharacterModel, beam: int = BEAM) -> str:
+    """The likeliest word behind ``token``."""
+    return "".join(_likeliest(lattice(token), model, beam))
 
 
 def disguised(token: str) -> str | None:
-    """The part of a lower-case token to decode, if it looks disguised."""
-    if len(token) > 32 or "://" in token or ("@" in token and "." in token.rpartition("@")[2]):
+    """The part of a lower-case token to decode, if it looks disguised; of a long run of one sign three are kept."""
+    if "://" in token or ("@" in token and "." in token.rpartition("@")[2]):
         return None
+    full, token = token, _LONG.sub(r"\1\1\1", token)
     core = token.rstrip(_EDGE)
     if token[len(core) :] == "$":
         core = token
-    while core and core[0] in _EDGE and core[0] not in "$+(":
-        core = core[1:]
+    core = core.lstrip(_LEAD)
     if core[:1] == "(" and (")" in core or core[1:].isalpha()):
         core = core[1:]
     letters = sum(c.isalpha() for c in core)
     if letters < 2 or core.isalpha() and not _TRIPLE.search(core):
         return None
-    if _TRIPLE.search(core) or _APART.fullmatch(core) or _LEET.search(core) and letters * 3 >= len(core):
+    if _TRIPLE.search(core) or _APART.fullmatch(core) or _WIDE.fullmatch(core):
+        return core
+    # a stretched sign counts once
+    flat = _RUN.sub(r"\1", core) if token != full else core
+    if _LEET.search(core) and (letters * 3 >= len(core) or sum(c.isalpha() for c in flat) * 3 >= len(flat)):
         return core
     return None
 

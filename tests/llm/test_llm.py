@@ -221,6 +221,17 @@ def test_deobfuscation():
         assert toxicity.disguised(plain) is None
 
 
+def test_long_tokens_are_decoded():
+    grams = Counter()
+    for w, n in {"stupid": 50, "idiot": 50, "loser": 50, "the": 90, "there": 40, "lot": 30}.items():
+        toxicity.grams_of(w, n, grams)
+    model = toxicity.CharacterModel(grams)
+    for token in ("idi" + "o" * 40 + "t", "i" + "." * 30 + "d.i.o.t", "1" * 20 + "d10" + "0" * 40 + "t", "-~.-~.-~".join("idiot")):
+        assert len(token) > 32
+        assert "idiot" in toxicity.words_of(token, model)
+    assert toxicity.decode("x." * 20_000, model)
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
