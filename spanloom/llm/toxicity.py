@@ -5,7 +5,9 @@ times or more, letters set apart by spaces or points) become a lattice of
 characters: a sign stands for the letters it imitates, a repeated letter may be
 dropped, a separator vanishes. Viterbi decoding under a character language
 model of order ORDER picks the likeliest word. Tokens of any length are decoded,
-in time linear in it. Plain words have a lattice of one path and are taken as
+in time linear in it. In a run of three or more single characters each space may
+vanish or be a word boundary; every word that the decoded run gives is looked
+up, as decoded and as spelt. Plain words have a lattice of one path and are taken as
 they stand.
 
 A document is scored from its restored words: words and word beginnings have a
@@ -119,7 +121,9 @@ def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel,
         new: dict[str, tuple[float, tuple | None]] = {}
         for history, (cost, path) in states.items():
             for letter, extra in options:
-                if letter:
+                if letter == " ":
+                    key, c = "^", cost + extra + model.cost(history, "$")
+                elif letter:
                     key, c = (history + letter)[-(ORDER - 1) :], cost + extra + model.cost(history, letter)
                 else:
                     key, c = history, cost + extra
@@ -141,6 +145,26 @@ def decode(token: str, model: CharacterModel, beam: int = BEAM) -> str:
     return "".join(_likeliest(lattice(token), model, beam))
 
 
+def decode_run(run: str, model: CharacterModel, beam: int = BEAM) -> list[tuple[str, str]]:
+    """The likeliest words of letters set apart by spaces, each with the signs it was read from.
+
+    A space vanishes or is a word boundary.
+    """
+    options: list[list[tuple[str, float]]] = []
+    for k, place in enumerate(lattice(run)):
+        if k:
+            options.append([("", 0.0), (" ", 0.0)])
+        options.append(place)
+    chosen = _likeliest(options, model, beam)
+    out, word, start = [], "", 0
+    for k, letter in enumerate(chosen[::2]):
+        word += letter
+        if 2 * k + 1 == len(chosen) or chosen[2 * k + 1] == " ":
+            out.append((word, run[start : k + 1]))
+            word, start = "", k + 1
+    return out
+
+
 def disguised(token: str) -> str | None:
     """The part of a lower-case token to decode, if it looks disguised; of a long run of one sign three are kept."""
     if "://" in token or ("@" in token and "." in token.rpartition("@")[2]):
@@ -179,13 +203,13 @@ def words_of(token: str, model: CharacterModel | None) -> list[str]:
 
 
 def spaced(tokens: list[str]) -> list[str]:
-    """Words spelt with spaces between their letters, as one token each."""
+    """Runs of single characters, which may spell words, as one token each."""
     out, run = [], []
     for t in [*tokens, ""]:
         if len(t) == 1:
             run.append(t)
         else:
-            if len(run) >= 4:
+            if len(run) >= 3:
                 out.append("".join(run).lower())
             run = []
     return out
@@ -219,8 +243,7 @@ class Detector:
         found = {t: s for t, s in zip(tokens, map(memo.__getitem__, tokens), strict=True) if s}
         hits = [s for s in found.values() if s > 0]
         for t in spaced(tokens) if memo.singles(found) else ():
-            if s := max((self.word(w, memo.own) for w in {t, decode(t, self.model)}), default=0.0):
-                hits.append(s)
+            hits += memo.run(t)
         hits.sort(reverse=True)
         return np.array([hits[0] if hits else 0.0, hits[1] if len(hits) > 1 else 0.0, math.log1p(sum(s > 1 for s in hits))])
 
@@ -243,6 +266,7 @@ class _Memo(dict):
 
     def __init__(self, detector: Detector, own: int | None = None):
         self.detector, self.own = detector, own
+        self.runs: dict[str, list[float]] = {}
 
     def __missing__(self, token: str) -> float:
         s = -1.0 if len(token) == 1 else max((self.detector.word(w, self.own) for w in words_of(token, self.detector.model)), default=0.0)
@@ -251,10 +275,23 @@ class _Memo(dict):
         self[token] = s
         return s
 
+    def run(self, t: str) -> list[float]:
+        """The bounds above zero of the words that a run of single characters spells."""
+        if (out := self.runs.get(t)) is None:
+            word, own, model = self.detector.word, self.own, self.detector.model
+            out = sorted(filter(None, (max(word(w, own), word(raw, own)) for w, raw in decode_run(t, model))))
+            whole = max(word(t, own), word(decode(t, model), own))
+            if whole > max(out, default=0.0):
+                out[-1:] = [whole]
+            if len(self.runs) > 100_000:
+                self.runs.clear()
+            self.runs[t] = out
+        return out
+
     @staticmethod
     def singles(found: dict[str, float]) -> bool:
-        """Whether enough different single characters are there to spell a word."""
-        return sum(s < 0 for s in found.values()) >= 3
+        """Whether there is a single character at all."""
+        return any(s < 0 for s in found.values())
 
 
 _UNIT = pa.schema([("u", pa.string()), ("y", pa.int32()), ("n", pa.int64())])

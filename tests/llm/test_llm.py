@@ -232,6 +232,24 @@ def test_long_tokens_are_decoded():
     assert toxicity.decode("x." * 20_000, model)
 
 
+def test_spaced_words():
+    grams, words = Counter(), {"idiot": 50, "loser": 50, "ass": 50, "as": 80, "the": 90, "there": 40, "lot": 30, "a": 90, "i": 80, "you": 90, "are": 90}
+    for w, n in words.items():
+        toxicity.grams_of(w, n, grams)
+    detector = toxicity.Detector({"=idiot": (50, 0), "=loser": (40, 0), "=ass": (50, 0)}, (100, 100), toxicity.CharacterModel(grams))
+
+    def hits(text):
+        return detector.features(text, toxicity._Memo(detector)).tolist()
+
+    bound = {w: detector.word(w) for w in ("idiot", "loser", "ass")}
+    assert min(bound.values()) > 1
+    assert hits("you are a i d i o t there")[0] == bound["idiot"]
+    assert hits("the I 1 d 1 0 t")[0] == bound["idiot"]
+    assert hits("there i d i o t l o s e r are")[:2] == [bound["idiot"], bound["loser"]]
+    assert hits("you a s s")[0] == bound["ass"]
+    assert hits("you a r e there . . . a l o t 1 2 3 a")[0] == 0
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
