@@ -95,31 +95,28 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-#: kind, a sign that texts without a candidate lack, pattern.
-_DIGITS, _AT = "digit", "at"
+#: kind, whether every match has a digit, pattern. Texts without a digit skip those; the others are run on every text.
+_DIGITS, _ANY = True, False
 GENERATORS: list[tuple[int, str, re.Pattern]] = [
-    (0, _AT, re.compile(r"(?i)(?<![\w.])[a-z0-9][a-z0-9._%+-]{0,63}\s?(?:@|[(\[{]\s?at\s?[)\]}]|\sat\s)\s?[a-z0-9-]{1,63}(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|\sdot\s)\s?[a-z0-9-]{2,63}){1,4}")),
+    (0, _ANY, re.compile(r"(?i)(?<![\w.])[a-z0-9][a-z0-9._%+-]{0,63}\s?(?:@|[(\[{]\s?at\s?[)\]}]|\sat\s)\s?[a-z0-9-]{1,63}(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|\sdot\s)\s?[a-z0-9-]{2,63}){1,4}")),
     (1, _DIGITS, re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?(?:\.|[(\[]\.[)\]]|[(\[]dot[)\]])\s?[0-9]{1,3}){3}(?![\w.])")),
-    (1, _DIGITS, re.compile(r"(?i)(?<![\w:])(?:[0-9a-f]{1,4}:){3,7}:?[0-9a-f]{1,4}(?![\w:])")),
+    (1, _ANY, re.compile(r"(?i)(?<![\w:])(?:[0-9a-f]{1,4}:){3,7}:?[0-9a-f]{1,4}(?![\w:])")),
     (2, _DIGITS, re.compile(r"(?<![\w])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){2}[ ./_-]{1,2}[0-9]{1,7}(?![\w])")),
     (3, _DIGITS, re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\)[ -]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{2,5}(?:[ .-][0-9]{2,4})?(?![\w-])")),
     (3, _DIGITS, re.compile(r"(?<![\w+])00[1-9][0-9 ()./-]{7,18}[0-9](?!\w)")),
     (4, _DIGITS, re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])")),
     (5, _DIGITS, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    (6, _DIGITS, re.compile(r"(?i)(?<=password)\s?[=:]\s?\"?'?[^\s\"']{6,80}|(?<=passwd)\s?[=:]\s?\"?'?[^\s\"']{6,80}|(?<=token)\s?[=:]\s?\"?'?[^\s\"']{12,200}|(?<=secret)\s?[=:]\s?\"?'?[^\s\"']{8,200}|(?<=api_key)\s?[=:]\s?\"?'?[^\s\"']{12,200}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")),
+    (6, _ANY, re.compile(r"(?i)(?<=password)\s?[=:]\s?\"?'?[^\s\"']{6,80}|(?<=passwd)\s?[=:]\s?\"?'?[^\s\"']{6,80}|(?<=token)\s?[=:]\s?\"?'?[^\s\"']{12,200}|(?<=secret)\s?[=:]\s?\"?'?[^\s\"']{8,200}|(?<=api_key)\s?[=:]\s?\"?'?[^\s\"']{12,200}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")),
 ]
 _ASSIGN = re.compile(r"^\s?[=:]\s?[\"']?")
-#: Texts with digits that belong to no base span, or a spelt-out sign, are searched for candidates.
-_SPELT = re.compile(r"(?i)[(\[{]\s?at\s?[)\]}]|\sat\s\S+\sdot\s")
 
 
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal data, overlaps included."""
     out = set()
     digits = _DIGIT.search(text) is not None
-    at = "@" in text or (("at" in text or "AT" in text) and _SPELT.search(text) is not None)
-    for kind, sign, pattern in GENERATORS:
-        if digits if sign == _DIGITS else at:
+    for kind, needs_digit, pattern in GENERATORS:
+        if digits or not needs_digit:
             for m in pattern.finditer(text):
                 start = m.start()
                 if kind == 6 and (skip := _ASSIGN.match(m.group())):
