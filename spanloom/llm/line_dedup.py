@@ -2,10 +2,14 @@
 
 1. Each document becomes the sequence of its lines' hashes (white space at a
    line's end aside), with the words of each line.
-2. A line of ANCHOR_WORDS or more that several documents hold is a link: each
-   later document is paired with the first document that holds it. However
-   frequent a line is, it gives one pair for each later holder, so no line is
-   dropped for being common and pairs stay in proportion to lines.
+2. From each line on, and up to each line, the fewest lines in a row that have
+   ANCHOR_WORDS are a window: a long line alone, or short lines together. Every
+   line of a block that is long enough is in a window within the block. A
+   window that several documents hold is a link: each later document is paired
+   with the first document that holds it. However frequent a window is, it gives
+   one pair for each later holder, so none is dropped for being common and pairs
+   stay in proportion to lines. In scripts without spaces two characters
+   count as a word.
 3. A pair's sequences are aligned with patience diff: lines that are unique in
    both anchor the alignment, gaps are aligned in turn, and matches grow over
    equal neighbours. Blocks of BLOCK_WORDS or more in aligned common lines are
@@ -22,6 +26,7 @@ own columns are joined under names that the input doesn't have.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -36,25 +41,69 @@ from .common import map_arrow, read_table, to_batch, written
 ANCHOR_WORDS = 5
 BLOCK_WORDS = 5
 _LAST = (1 << 63) - 1
-_SIG = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
-_SIG_DDL = "id long, th long, lines array<long>, words array<int>"
+_SIG = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("links", pa.list_(pa.int64()))])
+_SIG_DDL = "id long, th long, lines array<long>, words array<int>, links array<long>"
+#: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def n_words(line: str) -> int:
+    """Words of a line; two characters of a script without spaces are one."""
+    if line.isascii() or not (n := len(_UNSPACED.findall(line))):
+        return len(line.split())
+    return len(_UNSPACED.sub(" ", line).split()) + (n + 1) // 2
+
+
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
     """Hash and words of each line of ``text``."""
     lines = text.split("\n")
     digest = xxhash.xxh64_intdigest
-    return [_signed(digest(x.rstrip().encode("utf-8", "surrogatepass"), 7)) for x in lines], [len(x.split()) for x in lines]
+    return [_signed(digest(x.rstrip().encode("utf-8", "surrogatepass"), 7)) for x in lines], [n_words(x) for x in lines]
+
+
+def windows(words: list[int], least: int) -> set[tuple[int, int]]:
+    """Ranges of lines with ``least`` words: the shortest from each line, and the shortest up to each line."""
+    out, hi, held = set(), 0, 0
+    for lo in range(len(words)):
+        while hi < len(words) and held < least:
+            held += words[hi]
+            hi += 1
+        if held < least:
+            break
+        out.add((lo, hi))
+        held -= words[lo]
+    lo = held = 0
+    for hi in range(len(words)):
+        held += words[hi]
+        while held - words[lo] >= least:
+            held -= words[lo]
+            lo += 1
+        if held >= least:
+            out.add((lo, hi + 1))
+    return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [line_hashes(t) for t in b.column(2).to_pylist()]
-        yield to_batch(_SIG, [b.column(0), b.column(1), [r[0] for r in rows], [r[1] for r in rows]])
+def links(lines: list[int], words: list[int], least: int) -> list[int]:
+    """Hashes of the windows' lines, in one pass over the lines whatever the windows' length."""
+    upto, power = [0], [1]
+    for x in lines:
+        upto.append((upto[-1] * _BASE + x) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    return list({(upto[hi] - upto[lo] * power[hi - lo]) % _PRIME for lo, hi in windows(words, least)})
+
+
+def _signatures(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [line_hashes(t) for t in b.column(2).to_pylist()]
+            yield to_batch(_SIG, [b.column(0), b.column(1), [r[0] for r in rows], [r[1] for r in rows], [links(*r, least) for r in rows]])
+
+    return run
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -159,9 +208,8 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR_WORDS, least: int = BLOCK_WORDS, scope: str = "query") -> DataFrame:
     """id, th (hash of the text), gone (for each line, whether it goes) of documents that lose lines."""
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    sigs = written(map_arrow(keyed, _signatures, _SIG_DDL), "lines", scope)
-    at = F.explode(F.arrays_zip("lines", "words")).alias("x")
-    held = sigs.select(F.struct("id", "th").alias("doc"), at).filter(F.col("x.words") >= anchor).select("doc", F.col("x.lines").alias("h"))
+    sigs = written(map_arrow(keyed, _signatures(anchor), _SIG_DDL), "lines", scope)
+    held = sigs.select(F.struct("id", "th").alias("doc"), F.explode("links").alias("h"))
     first = held.groupBy("h").agg(F.min("doc").alias("base"), F.max("doc").alias("top")).filter("base <> top").select("h", "base")
     pairs = written(held.join(first, "h").filter("doc > base").groupBy("base", "doc").agg(F.lit(1).alias("one")).select("base.*", F.col("doc.id").alias("id2"), F.col("doc.th").alias("th2")), "pairs", scope)
     one = sigs.dropDuplicates(["id", "th"])

@@ -446,6 +446,33 @@ def test_line_dedup_cases(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "_line_id", "source", "n_chars"}
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "\n".join(f"short{k} line" for k in range(30))
+    tail, long, han = "two words\nand two", "one long line of seven words here", "漢字仮名交文章全部共通\n二行目也同様共通部分"
+    rows = [(1, f"own\n{verse}\nend a"), (2, f"other\n{verse}\nend b"), (3, long), (4, f"x\n{tail}\n{long}\ny"), (5, f"z\n{tail}\n{long}\nv"), (6, f"a\n{han}"), (7, f"b\n{han}"), (8, f"p\n{long}\n{tail}\nq"), (9, f"r\n{long}\n{tail}\ns")]
+    got = {r.doc_id: r.text for r in line_dedup.op10(spark, _saved(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "other\nend b", 3: long, 4: f"x\n{tail}\ny", 5: "z\nv", 6: rows[5][1], 7: "b", 8: f"p\n{tail}\nq", 9: "r\ns"}
+
+
+def _saved(spark, rows):
+    import tempfile
+
+    d = tempfile.mkdtemp()
+    frame(spark, [(i, t, "en", "s", 0) for i, t in rows]).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+@given(st.lists(st.integers(0, 7), max_size=12))
+def test_every_line_of_a_block_is_in_a_window(words):
+    found = line_dedup.windows(words, 5)
+    assert all(sum(words[lo:hi]) >= 5 for lo, hi in found)
+    for lo in range(len(words)):
+        for hi in range(lo + 1, len(words) + 1):
+            if sum(words[lo:hi]) >= 5:
+                inside = [range(a, b) for a, b in found if lo <= a and b <= hi]
+                assert all(any(k in r for r in inside) for k in range(lo, hi))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_patience_is_an_alignment(a, b):
