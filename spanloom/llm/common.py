@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows an Arrow batch holds at most on its way to Python; texts can be long.
 ARROW_ROWS = 500
@@ -81,6 +82,44 @@ def written(df: DataFrame, label: str, scope: str = "query") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no such column, whatever the case."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than 1/HOT of a join's rows is dealt to several tasks; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """Join of ``left`` with the one row that ``right`` has for a key, in which no task takes a hot key's rows.
+
+    sizes: keys and n, how many rows of ``left`` a key has; counted if not given.
+    Keys with more than 1/hot of all rows, fewer than ``hot``, come to the driver.
+    Their rows are dealt by a hash of the whole row to parts of about total/hot
+    rows, and their right row is copied for each part, so that at most twice
+    ``hot`` copies are made. Columns other than the keys must differ in name.
+    """
+    if sizes is None:
+        sizes = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    found = sizes.filter(F.col("n") * hot > total).select(*keys, F.ceil(F.col("n") * hot / total).cast("int").alias("_parts")).collect() if total else []
+    if not found:
+        return left.join(right, keys, how)
+    schema = sizes.select(*keys).schema.add("_parts", T.IntegerType())
+    parts = F.broadcast(left.sparkSession.createDataFrame(found, schema))
+    row = F.xxhash64(*[c for c in left.columns])
+    dealt = left.withColumn("_row", row).join(parts, keys, "left").withColumn("_part", F.coalesce(F.pmod("_row", F.col("_parts")), F.lit(0)).cast("int")).drop("_row", "_parts")
+    copied = right.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def remainder(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % k
