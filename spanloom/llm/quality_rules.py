@@ -6,7 +6,8 @@ of (measure, lowest, highest) into one boolean expression. No user functions.
 Defined results: a null text has no words and fails, like an empty one. Ratios
 with denominator zero are zero. Texts of any length are measured whole; a word
 is a run of characters outside ``[\x20\x09-\x0D]``. Repeated rows and ids each
-return a row, a null id too. Columns beside the text pass through untouched.
+return a row, a null id too. All columns pass through untouched, whatever their
+names: the measures are one struct column behind them, under a name of its own.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import free_name, read_table
 
 SPACE = r"[\x20\x09-\x0D]+"
+ELLIPSIS = r"(…|\.\.\.)[\x20\x09-\x0D]*\z"
+BULLET = r"\A[\x20\x09-\x0D]*[-*•‣][\x20\x09-\x0D]"
 STOP_WORDS = (
     "the of and to in that is was he for it with as his on be at by i this had not are but from or have an they which one you were her all she there would their we him been has when who will no more if out so "
     "der die und das von zu den mit ist im für auf ein eine nicht dem des sich auch als wie "
@@ -86,51 +89,78 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with a column for each measure."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = set(df.columns)
-    t, w, s = (next(x for x in (f"_{k}{'_' * i}" for i in range(99)) if x not in kept) for k in "tws")
-    df = df.withColumn(t, text)
-    df = df.withColumn(s, F.regexp_replace(F.col(t), rf"^{SPACE}|{SPACE}$", ""))
-    df = df.withColumn(w, F.when(F.col(s) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(s), SPACE)))
-    words, n = F.col(w), F.size(F.col(w)).cast("long")
+def measured(df: DataFrame, text_col: str = "text", into: str = "measures") -> DataFrame:
+    """``df`` and, as its last column, a struct of all measures.
+
+    The struct is named ``into``, with underscores added while ``df`` has such a column.
+    """
+    into, t, p, w, base = free_name(df, into, "t", "p", "w", "base")
+    out = df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
+    out = out.withColumn(p, F.split(F.col(t), SPACE))
+    # only the first and the last part can be empty; a text without words is one empty part
+    first = (F.get(F.col(p), F.lit(0)) == "").cast("int")
+    last = ((F.element_at(F.col(p), -1) == "") & (F.size(p) > 1)).cast("int")
+    out = out.withColumn(w, F.slice(F.col(p), first + 1, F.size(p) - first - last))
+    words = F.col(w)
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_lines = F.size(lines)
-    chars = F.length(F.regexp_replace(F.col(t), SPACE, "")).cast("long")
-    symbols = F.length(F.regexp_replace(F.col(t), r"[^#*$%&|<>]+", "")).cast("long")
     upper = F.length(F.regexp_replace(F.col(t), r"\P{Lu}+", ""))
-    dup = (n_lines - F.size(F.array_distinct(lines))).cast("long")
-    df = df.withColumns({"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": _repeat_words(words)})
-    return df.withColumns(
-        {
-            "mean_word_length": _ratio(F.col("word_chars"), F.col("n_words")),
-            "symbol_ratio": _ratio(F.col("n_symbols"), F.col("word_chars")),
-            "stop_words": F.size(F.array_intersect(F.transform(words, F.lower), F.lit(_STOPS))).cast("long"),
-            "ellipsis_line_ratio": _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"(…|\.\.\.)\s*$"))), n_lines),
-            "bullet_line_ratio": _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"^\s*[-*•‣]\s"))), n_lines),
-            "dup_line_ratio": _ratio(F.col("n_dup_lines"), n_lines),
-            "upper_ratio": _ratio(upper, F.col("word_chars")),
-            "repeat_word_ratio": _ratio(F.col("n_repeat_words"), F.col("n_words")),
-        }
-    ).drop(t, s, w)
-
-
-def compile_rules(rules: list[tuple[str, float, float]] = RULES) -> Column:
-    """One boolean: all measures within their bounds."""
-    parts = [F.lit(True)]
+    out = out.withColumn(
+        base,
+        F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(F.col(t), SPACE, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(F.col(t), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            _repeat_words(words).alias("n_repeat_words"),
+            F.size(F.array_intersect(F.transform(words, F.lower), F.lit(_STOPS))).cast("long").alias("stop_words"),
+            upper.alias("upper"),
+            _let(lines, _line_measures).alias("lines"),
+        ),
+    )
+    b, of_lines = F.col(base), F.col(f"{base}.lines")
+    found = {
+        **{k: b[k] for k in ("n_words", "word_chars", "n_symbols")},
+        "n_dup_lines": of_lines["dup"],
+        "n_repeat_words": b["n_repeat_words"],
+        "mean_word_length": _ratio(b["word_chars"], b["n_words"]),
+        "symbol_ratio": _ratio(b["n_symbols"], b["word_chars"]),
+        "stop_words": b["stop_words"],
+        "ellipsis_line_ratio": _ratio(of_lines["ellipsis"], of_lines["n"]),
+        "bullet_line_ratio": _ratio(of_lines["bullet"], of_lines["n"]),
+        "dup_line_ratio": _ratio(of_lines["dup"], of_lines["n"]),
+        "upper_ratio": _ratio(b["upper"], b["word_chars"]),
+        "repeat_word_ratio": _ratio(b["n_repeat_words"], b["n_words"]),
+    }
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(*[v.alias(k) for k, v in found.items()]).alias(into))
+
+
+def _line_measures(lines: Column) -> Column:
+    def share(pattern: str) -> Column:
+        return F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+
+    return F.struct(
+        F.size(lines).alias("n"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"),
+        share(ELLIPSIS).alias("ellipsis"),
+        share(BULLET).alias("bullet"),
+    )
+
+
+def compile_rules(rules: list[tuple[str, float, float]] = RULES, at: str = "measures") -> Column:
+    """One boolean: all measures, fields of the struct ``at``, within their bounds."""
+    out = F.lit(True)
     for name, low, high in rules:
-        parts += [F.col(name) >= F.lit(low)] * (low > -math.inf) + [F.col(name) <= F.lit(high)] * (high < math.inf)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p
+        if low > -math.inf:
+            out = out & (F.col(at)[name] >= F.lit(low))
+        if high < math.inf:
+            out = out & (F.col(at)[name] <= F.lit(high))
     return out
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = measured(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & compile_rules()).alias("kept"))
+    m = {k: F.col("measures")[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return docs.select("doc_id", *[v.alias(k) for k, v in m.items()], failed.alias("base_failed"), (~failed & compile_rules()).alias("kept"))
 
 
 SQL9 = r"""
@@ -150,8 +180,8 @@ m AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
     len(ls) AS n_lines, length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper,
     len(list_intersect(list_distinct(list_transform(w, lambda x: lower(x))), [{stops}])) AS n_stops,
-    len(list_filter(ls, lambda x: regexp_matches(x, '(…|\.\.\.)\s*$'))) AS n_dots,
-    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•‣]\s'))) AS n_bullets
+    len(list_filter(ls, lambda x: regexp_matches(x, '(…|\.\.\.)[\x20\x09-\x0D]*\z'))) AS n_dots,
+    len(list_filter(ls, lambda x: regexp_matches(x, '\A[\x20\x09-\x0D]*[-*•‣][\x20\x09-\x0D]'))) AS n_bullets
   FROM w LEFT JOIN cov USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
