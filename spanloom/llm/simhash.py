@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, to_batch, written
+from .common import map_arrow, spread_join, to_batch, written
 
 SHINGLE = 4
 RADIUS = 4
-_SCHEMA = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+_SCHEMA = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -53,14 +53,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tag: Column | None = None) -> DataFrame:
+    """id, tag (a long of the caller's own), fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield to_batch(_SCHEMA, [b.column(0), [_signed(fingerprint(t, shingle)) for t in b.column(1).to_pylist()]])
+            yield to_batch(_SCHEMA, [b.column(0), b.column(1), [_signed(fingerprint(t, shingle)) for t in b.column(2).to_pylist()]])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fp long")
+    tag = F.lit(None) if tag is None else tag
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), tag.cast("long").alias("tag"), F.col(text_col).alias("text")), run, "id long, tag long, fp long")
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -110,7 +111,7 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
     """node, root (the smallest node of its component), by alternating stars.
 
     ``edges``: a, b. Each round joins a neighbourhood's minimum back to its
-    edges, so a hub's edges are split over tasks; rounds are written to the
+    edges; a hub's edges are dealt to several tasks. Rounds are written to the
     shared folder and grow with the logarithm of the longest chain.
     """
     state = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", scope)
@@ -118,11 +119,12 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
     while True:
         # large star: each larger neighbour is joined to the smallest of the neighbourhood
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
+        large = spread_join(both.filter("v > u"), least.select("u", "m"), ["u"], least.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "stars", scope)
         # small star: the node and its smaller neighbours are joined to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low.select("u", "m"), ["u"], low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         state = written(small.filter("u <> v").distinct(), "stars", scope)
         sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))]
         after = tuple(state.agg(*sums).first())
@@ -131,15 +133,19 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, scope: str = "query") -> DataFrame:
-    """id, fp and component (the smallest id that links reach) of each row."""
-    marks = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints", scope)
-    fps = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct", scope)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, scope: str = "query", tag: Column | None = None) -> DataFrame:
+    """id, tag (as given), fp, root and component of each row.
+
+    root: the smallest fingerprint that links reach, which names the group;
+    component: the smallest id of the group, null if no row of it has an id.
+    """
+    marks = written(fingerprints(docs, id_col, text_col, shingle, tag), "fingerprints", scope)
+    fps = written(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct", scope)
     roots = components(links(fps.select("fp"), fps.count(), radius), scope)
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    return marks.join(named, "fp").select("id", "fp", "component")
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    named = spread_join(rooted.select("fp", "root"), groups.select("root", "component"), ["root"], groups.select("root", "n"))
+    return spread_join(marks, written(named, "groups", scope), ["fp"], fps.select("fp", "n")).select("id", "tag", "fp", "root", "component")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
