@@ -3,7 +3,7 @@
 1. Each document becomes the sequence of its lines' hashes (white space at a
    line's end aside), with the words of each line.
 2. From each line on, and up to each line, the fewest lines in a row that have
-   ANCHOR_WORDS are a window: a long line alone, or short lines together. Every
+   BLOCK_WORDS are a window: a long line alone, or short lines together. Every
    line of a block that is long enough is in a window within the block. A
    window that several documents hold is a link: each later document is paired
    with the first document that holds it. However frequent a window is, it gives
@@ -13,7 +13,14 @@
 3. A pair's sequences are aligned with patience diff: lines that are unique in
    both anchor the alignment, gaps are aligned in turn, and matches grow over
    equal neighbours. Blocks of BLOCK_WORDS or more in aligned common lines are
-   deleted from the later document.
+   deleted from the later document; so are moved blocks, windows that both have
+   but in another order, which the alignment leaves.
+
+Pairing with first holders loses nothing against pairing all: a block that is
+shared with any earlier document consists of windows, and each window is in the
+first document that holds it, where alignment or the search for moved blocks
+finds it. So the lines deleted are those of all runs of BLOCK_WORDS or more
+that any earlier document has.
 
 Documents are ordered by id, then by a hash of the text; a null id comes last.
 Rows with the same id and text are one document: they are not compared with
@@ -28,7 +35,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, read_table, to_batch, written
+from .common import free_name, map_arrow, read_table, spread_join, to_batch, written
 
-ANCHOR_WORDS = 5
 BLOCK_WORDS = 5
 _LAST = (1 << 63) - 1
 _SIG = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("links", pa.list_(pa.int64()))])
@@ -88,11 +94,18 @@ def windows(words: list[int], least: int) -> set[tuple[int, int]]:
     return out
 
 
+def _sums(lines: list[int]) -> list[int]:
+    """Rolling hash of each beginning."""
+    out = [0]
+    for x in lines:
+        out.append((out[-1] * _BASE + x) % _PRIME)
+    return out
+
+
 def links(lines: list[int], words: list[int], least: int) -> list[int]:
     """Hashes of the windows' lines, in one pass over the lines whatever the windows' length."""
-    upto, power = [0], [1]
-    for x in lines:
-        upto.append((upto[-1] * _BASE + x) % _PRIME)
+    upto, power = _sums(lines), [1]
+    for _ in lines:
         power.append(power[-1] * _BASE % _PRIME)
     return list({(upto[hi] - upto[lo] * power[hi - lo]) % _PRIME for lo, hi in windows(words, least)})
 
@@ -123,40 +136,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         ca, cb = Counter(a[a0:a1]), Counter(b[b0:b1])
         once = {x for x, n in ca.items() if n == 1 and cb.get(x) == 1}
         if not once:
-            # without unique lines, equal runs are matched at their first place
-            first = {}
-            for j in range(b1 - 1, b0 - 1, -1):
-                first[b[j]] = j
-            i = a0
-            while i < a1 and a[i] not in first:
-                i += 1
-            if i < a1:
-                j = first[a[i]]
-                k = 0
-                while i + k < a1 and j + k < b1 and a[i + k] == b[j + k]:
-                    out.append((i + k, j + k))
-                    k += 1
-                todo.append((i + k, a1, j + k, b1))
+            out += _in_order(a, b, a0, a1, b0, b1)
             continue
         place = {b[j]: j for j in range(b0, b1) if b[j] in once}
-        pairs = [(i, place[a[i]]) for i in range(a0, a1) if a[i] in once]
-        tails: list[int] = []
-        ends: list[int] = []
-        back = [-1] * len(pairs)
-        for k, (_, j) in enumerate(pairs):
-            at = bisect_left(tails, j)
-            back[k] = ends[at - 1] if at else -1
-            if at == len(tails):
-                tails.append(j)
-                ends.append(k)
-            else:
-                tails[at], ends[at] = j, k
-        chain, k = [], ends[-1]
-        while k >= 0:
-            chain.append(pairs[k])
-            k = back[k]
+        chain = _increasing([(i, place[a[i]]) for i in range(a0, a1) if a[i] in once])
         at_a, at_b = a0, b0
-        for i, j in reversed(chain):
+        for i, j in chain:
             out.append((i, j))
             todo.append((at_a, i, at_b, j))
             at_a, at_b = i + 1, j + 1
@@ -164,17 +149,81 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _in_order(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Without unique lines: each line of ``a`` at its next place in ``b``, runs together; one pass over an index."""
+    places: dict[int, list[int]] = defaultdict(list)
+    for j in range(b0, b1):
+        places[b[j]].append(j)
+    out, i, at = [], a0, b0
+    while i < a1:
+        own = places.get(a[i], ())
+        k = bisect_left(own, at)
+        if k == len(own):
+            i += 1
+            continue
+        j = own[k]
+        while i < a1 and j < b1 and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        at = j
+    return out
+
+
+def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of ``pairs``, which increase in the first number, that increases in the second too."""
+    tails: list[int] = []
+    ends: list[int] = []
+    back = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        back[k] = ends[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(j)
+            ends.append(k)
+        else:
+            tails[at], ends[at] = j, k
+    chain, k = [], ends[-1]
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    return chain[::-1]
+
+
+def moved_blocks(earlier: list[int], later: list[int], left: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the later document's ranges ``left`` whose lines the earlier one has too, anywhere."""
+    by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for lo, hi in left:
+        by_size[hi - lo].append((lo, hi))
+    upto_a, upto_b, power = _sums(earlier), _sums(later), [1]
+    for _ in range(max(by_size, default=0)):
+        power.append(power[-1] * _BASE % _PRIME)
+    out = []
+    for n, ranges in by_size.items():
+        held = {(upto_a[i + n] - upto_a[i] * power[n]) % _PRIME: i for i in range(len(earlier) - n + 1)}
+        for lo, hi in ranges:
+            i = held.get((upto_b[hi] - upto_b[lo] * power[n]) % _PRIME)
+            if i is not None and earlier[i : i + n] == later[lo:hi]:
+                out.append((lo, hi))
+    return out
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[tuple[int, int]]:
-    """Ranges of the later document's lines that align with the earlier one and have ``least`` words."""
+    """Ranges of the later document's lines that the earlier one has and that have ``least`` words: aligned, then moved ones."""
     out, run = [], []
+    covered = [False] * len(later)
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
             lo, hi = run[0][1], run[-1][1] + 1
             if sum(words[lo:hi]) >= least:
                 out.append((lo, hi))
+                covered[lo:hi] = [True] * (hi - lo)
             run = []
         run.append((i, j))
-    return out
+    gaps = [0]
+    for c in covered:
+        gaps.append(gaps[-1] + (not c))
+    left = [(lo, hi) for lo, hi in windows(words, least) if gaps[hi] > gaps[lo]]
+    return sorted(out + moved_blocks(earlier, later, left)) if left else out
 
 
 _PAIR = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())), ("n", pa.int32())])
@@ -205,32 +254,33 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield to_batch(_MASK, [b.column(0), b.column(1), out])
 
 
-def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR_WORDS, least: int = BLOCK_WORDS, scope: str = "query") -> DataFrame:
+def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS, scope: str = "query") -> DataFrame:
     """id, th (hash of the text), gone (for each line, whether it goes) of documents that lose lines."""
     keyed = docs.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    sigs = written(map_arrow(keyed, _signatures(anchor), _SIG_DDL), "lines", scope)
-    held = sigs.select(F.struct("id", "th").alias("doc"), F.explode("links").alias("h"))
-    first = held.groupBy("h").agg(F.min("doc").alias("base"), F.max("doc").alias("top")).filter("base <> top").select("h", "base")
-    pairs = written(held.join(first, "h").filter("doc > base").groupBy("base", "doc").agg(F.lit(1).alias("one")).select("base.*", F.col("doc.id").alias("id2"), F.col("doc.th").alias("th2")), "pairs", scope)
+    sigs = written(map_arrow(keyed, _signatures(least), _SIG_DDL), "lines", scope)
+    held = sigs.select("id", "th", F.explode("links").alias("h"))
+    doc = F.struct("id", "th")
+    first = written(held.groupBy("h").agg(F.min(doc).alias("base"), F.max(doc).alias("top"), F.count("*").alias("n")).filter("base <> top").select("h", "base", "n"), "first", scope)
+    # a common line's holders are dealt to several tasks, where each meets the line's first holder
+    met = spread_join(held, first.select("h", "base"), ["h"], first.select("h", "n")).filter(doc > F.col("base"))
+    pairs = written(met.select(F.col("base.id").alias("id"), F.col("base.th").alias("th"), F.col("id").alias("id2"), F.col("th").alias("th2")).distinct(), "pairs", scope)
     one = sigs.dropDuplicates(["id", "th"])
     earlier = one.select("id", "th", F.col("lines").alias("earlier"))
     later = one.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "lines", "words")
-    both = pairs.join(earlier, ["id", "th"]).join(later, ["id2", "th2"]).select("id2", "th2", "earlier", "lines", "words")
+    both = spread_join(pairs, earlier, ["id", "th"]).join(later, ["id2", "th2"]).select("id2", "th2", "earlier", "lines", "words")
     ranges = map_arrow(both, _align(least), "id long, th long, lo array<int>, hi array<int>, n int")
     # as many ranges as the document's own links
     merged = ranges.groupBy("id", "th").agg(F.max("n").alias("n"), F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
     return map_arrow(merged, _masks, "id long, th long, gone array<boolean>")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR_WORDS, least: int = BLOCK_WORDS, scope: str = "query", details: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = BLOCK_WORDS, scope: str = "query", details: bool = False) -> DataFrame:
     """``docs`` with aligned common blocks deleted from later documents.
 
     details: adds n_lines and n_removed (lines) and removed (array of line numbers).
     """
-    own = {c.lower() for c in docs.columns}
-    free = lambda name: next(x for x in (f"{name}{'_' * i}" for i in range(99)) if x.lower() not in own)
-    i, th, gone = free("_line_id"), free("_line_th"), free("_line_gone")
-    masks = shared_lines(docs, id_col, text_col, anchor, least, scope).toDF(i, th, gone)
+    i, th, gone = free_name(docs, "_line_id", "_line_th", "_line_gone")
+    masks = shared_lines(docs, id_col, text_col, least, scope).toDF(i, th, gone)
     keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), th: F.xxhash64(F.col(text_col))})
     joined = keyed.join(masks, [i, th], "left")
     lines = F.split(F.col(text_col), "\n", -1)
