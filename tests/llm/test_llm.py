@@ -16,6 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanloom.llm import exact_dedup, line_dedup, lm, mil_quality, packing, pieces, pii, quality_rules, registry, simhash, toxicity
+from spanloom.llm.common import spread_join
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -293,6 +294,11 @@ def slow_spans(text):
     return found
 
 
+def test_base_spans_of_long_runs():
+    for text in ("1" * 1_000_000, "1." * 500_000, "a@" * 300_000, "a" * 500_000 + "@", "+1" * 300_000, "1 " * 500_000):
+        pii.base_spans(text)
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet="ab1290.@-+() %é\n", max_size=60))
 def test_base_spans_like_the_patterns(text):
@@ -340,11 +346,61 @@ def test_sql(spark, name, odd_dir):
 
 def test_directory_doubles(spark):
     r = random.Random(1)
-    keys = spark.createDataFrame([(r.getrandbits(63) - (1 << 62),) for _ in range(3000)] + [(5,)] * 400, "h long")
-    slots = exact_dedup.directory(keys, capacity=300)
-    held = keys.withColumn("slot", exact_dedup.slot(keys.h)).join(slots, "slot").groupBy("bucket").count().collect()
-    assert sum(x["count"] for x in held) == 3400
-    assert len(held) > 10 and all(x["count"] <= 300 or x.bucket >= 1 << exact_dedup.MAX_DEPTH for x in held)
+    # a third of the keys share their first 20 bits, so some buckets lie deeper than one round reaches
+    values = {r.getrandbits(64) - (1 << 63) for _ in range(2000)} | {(77 << 44) | r.getrandbits(44) for _ in range(1000)}
+    keys = spark.createDataFrame([(v,) for v in values], "h long")
+    buckets, depths = exact_dedup.directory(keys, capacity=40)
+    rows = buckets.collect()
+    assert len(rows) == len({(x.depth, x.code) for x in rows}) and depths == sorted({x.depth for x in rows}) and max(depths) > 20
+    held = exact_dedup.look_up(keys, (buckets, depths)).groupBy("bucket").count().collect()
+    assert sum(x["count"] for x in held) == len(values) and max(x["count"] for x in held) <= 40
+    want = Counter()
+    stack = [(0, 0, [v & (1 << 64) - 1 for v in values])]
+    while stack:
+        depth, code, own = stack.pop()
+        if len(own) <= 40:
+            want[depth, code] = len(own)
+        else:
+            for bit in (0, 1):
+                if part := [v for v in own if v >> 63 - depth & 1 == bit]:
+                    stack.append((depth + 1, 2 * code + bit, part))
+    assert {(x.depth, x.code) for x in rows} == set(want)
+
+
+def test_exact_dedup_goes_through_the_directory(spark, monkeypatch):
+    docs = frame(spark, [(k, f"text {k % 70}", None, None, None) for k in range(200)])
+    whole = exact_dedup.duplicates(docs, capacity=8)
+    assert {(r.id, r.keep_id) for r in whole.collect()} == {(k, k % 70) for k in range(200)}
+    true = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (true(*a)[0].orderBy("depth", "code").offset(1), true(*a)[1]))
+    assert 0 < exact_dedup.duplicates(docs, capacity=8).count() < 200
+
+
+def test_joins_beyond_the_broadcast_size(spark, monkeypatch):
+    docs = frame(spark, [(k, f"text {k % 70 if k % 3 else 0}", None, None, None) for k in range(300)])
+    want = sorted(exact_dedup.duplicates(docs, capacity=8).collect())
+    monkeypatch.setattr(exact_dedup, "SMALL", 0)
+    assert sorted(exact_dedup.duplicates(docs, capacity=8).collect()) == want
+
+
+def test_spread_join(spark):
+    r = random.Random(3)
+    rows = [(r.choice([1, 1, 1, 1, 2, 2, *range(3, 60), None]), k) for k in range(3000)]
+    left = spark.createDataFrame(rows, "k long, v long").repartition(3)
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(50)], "k long, name string")
+    for how in ("inner", "left"):
+        want = Counter((k, v, f"r{k}" if k is not None and k < 50 else None) for k, v in rows if how == "left" or k is not None and k < 50)
+        for hot in (20, 1000):
+            assert Counter(map(tuple, spread_join(left, right, ["k"], how=how, hot=hot).collect())) == want
+    dealt = spread_join(left, right, ["k"], hot=20)
+    assert "_part" in dealt._jdf.queryExecution().toString() and dealt.columns == ["k", "v", "name"]
+
+
+def test_quality_of_odd_texts(spark):
+    texts = ["word \u0085", "\u0085", "a\u2028", " lead and trail ", "x" + " " * 200_000 + "y", "one\n...\u0085\nb..." + " " * 1000, "b\n" * 50_000]
+    rows = quality_rules.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.measures.n_words for r in rows] == [len(WORD.findall(t)) for t in texts]
+    assert [r.measures.n_dup_lines for r in rows] == [0] * 6 + [49_999]
 
 
 # -- 8 -----------------------------------------------------------------------
@@ -411,33 +467,91 @@ def test_best_fit_is_best_fit(lengths):
 
 
 def slow_line_dedup(rows):
-    """Every later document against every earlier one that first holds one of its lines."""
-    docs = sorted({(i, t) for i, t in rows})
-    first = {}
-    for i, t in docs:
-        for line in t.split("\n"):
-            if len(line.split()) >= 5:
-                first.setdefault(line.rstrip(), (i, t))
+    """Every later document against every earlier one: the lines of all equal runs of five words or more go."""
+    docs = sorted(set(rows), key=lambda x: (x[0], x[2]))
+    split = [[x.rstrip() for x in t.split("\n")] for _, t, _ in docs]
+    words = [[len(x.split()) for x in lines] for lines in split]
+    codes = {}
+    coded = [np.array([codes.setdefault(x, len(codes)) for x in lines]) for lines in split]
     out = {}
-    for i, t in docs:
-        lines = t.split("\n")
-        bases = {first[x.rstrip()] for x in lines if len(x.split()) >= 5} - {(i, t)}
-        gone = set()
-        for _, e in bases:
-            for lo, hi in line_dedup.common_blocks([x.rstrip() for x in e.split("\n")], [x.rstrip() for x in lines], [len(x.split()) for x in lines]):
-                gone |= set(range(lo, hi))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    for d, (i, t, _) in enumerate(docs):
+        gone = np.zeros(len(split[d]), bool)
+        for e in range(d):
+            same = coded[e][:, None] == coded[d][None, :]
+            for x, y in zip(*np.nonzero(same), strict=True):
+                if x and y and same[x - 1, y - 1]:
+                    continue
+                n = 1
+                while x + n < len(same) and y + n < len(gone) and same[x + n, y + n]:
+                    n += 1
+                if sum(words[d][y : y + n]) >= 5:
+                    gone[y : y + n] = True
+        out[i, t] = "\n".join(x for k, x in enumerate(t.split("\n")) if not gone[k])
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
-    d = "/root/testdata/sf0.01"
-    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
-    got = {r.doc_id: r for r in line_dedup.op10(spark, d).collect()}
-    assert {i: r.text for i, r in got.items()} == slow_line_dedup(rows)
+def _by_hash(spark, rows):
+    """id, text, th of ``rows``: documents with one id are ordered by Spark's hash of the text."""
+    return [(r.i, r.t, r.h) for r in spark.createDataFrame(rows, "i long, t string").selectExpr("i", "t", "xxhash64(t) h").collect()]
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = slow_line_dedup(_by_hash(spark, rows))
+    got = {r.doc_id: r for r in line_dedup.op10(spark, SF).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: t for (i, _), t in want.items()}
     assert any(r.n_removed for r in got.values())
 
 
+def test_line_dedup_of_all_documents(spark):
+    """At a larger size: a document's runs against the set of the runs of all before it."""
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect())
+    seen, want = set(), {}
+    for i, t in rows:
+        lines = [x.rstrip() for x in t.split("\n")]
+        gone, own = [False] * len(lines), set()
+        for lo in range(len(lines)):
+            hi = held = 0
+            for hi in range(lo, len(lines)):
+                held += len(lines[hi].split())
+                if held >= 5:
+                    break
+            # every run of five words has such a run that ends where it ends, or begins where it begins
+            if held >= 5:
+                own.add(tuple(lines[lo : hi + 1]))
+                if tuple(lines[lo : hi + 1]) in seen:
+                    gone[lo : hi + 1] = [True] * (hi + 1 - lo)
+            back = 0
+            for at in range(lo, -1, -1):
+                back += len(lines[at].split())
+                if back >= 5:
+                    own.add(tuple(lines[at : lo + 1]))
+                    if tuple(lines[at : lo + 1]) in seen:
+                        gone[at : lo + 1] = [True] * (lo + 1 - at)
+                    break
+        seen |= own
+        want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if not gone[k])
+    assert {r.doc_id: r.text for r in line_dedup.op10(spark, d).collect()} == want
+
+
+def test_line_dedup_of_moved_and_shuffled_blocks(spark):
+    r = random.Random(5)
+    pool = [f"line {k} has these words" for k in range(12)] + ["short", "", "two words", "a"]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for k in range(40)] + [(3, "line 1 has these words"), (3, "short\nshort\nshort\ntwo words")]
+    got = Counter((x.doc_id, x.text) for x in line_dedup.dedup_lines(frame(spark, [(i, t, None, None, None) for i, t in rows])).collect())
+    want = slow_line_dedup(_by_hash(spark, rows))
+    assert got == Counter((i, want[i, t]) for i, t in rows)
+
+
+def test_long_line_sequences_align_in_time():
+    a = [k % 7 for k in range(60_000)]
+    b = [(k * 3) % 7 for k in range(60_000)]
+    pairs = line_dedup.patience(a, b)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    assert line_dedup.common_blocks(b, b, [1] * len(b)) == [(0, len(b))]
+
+
 def test_line_dedup_cases(spark):
     passage = " ".join(f"word{k}" for k in range(60))
     rows = [(1, f"own one\n{passage}\nend here"), (2, f"other\n\n{passage}"), (3, "a clean text with words\nand a line more"), (4, passage), (4, passage)]
@@ -482,10 +596,12 @@ def test_patience_is_an_alignment(a, b):
 
 
 def test_rules_compile(spark):
-    df = quality_rules.measured(spark.createDataFrame([(1, "the of " * 40 + "and more words here", "x")], "doc_id long, text string, _t string"))
-    assert df.columns[:3] == ["doc_id", "text", "_t"]
-    assert df.select(quality_rules.compile_rules([("n_words", 10, 100)])).first()[0]
-    assert not df.select(quality_rules.compile_rules([("n_words", 10, 20)])).first()[0]
+    schema = "doc_id long, text string, _T string, n_words string, Measures string, `a.b` string"
+    df = quality_rules.measured(spark.createDataFrame([(1, "the of " * 40 + "and more words here", "x", "y", "z", "q")], schema))
+    assert df.columns == ["doc_id", "text", "_T", "n_words", "Measures", "a.b", "measures_"]
+    assert tuple(df.first())[2:6] == ("x", "y", "z", "q")
+    assert df.select(quality_rules.compile_rules([("n_words", 10, 100)], "measures_")).first()[0]
+    assert not df.select(quality_rules.compile_rules([("n_words", 10, 20)], "measures_")).first()[0]
 
 
 # -- pipeline ----------------------------------------------------------------
@@ -515,3 +631,15 @@ def test_pipeline(spark, odd_dir, empty_dir):
     assert {r.doc_id for r in rows} == set(before)
     assert p.run(spark, odd_dir).count() > 0
     assert p.run(spark, empty_dir).count() == 0
+
+
+def test_near_copies_by_row(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"other{k}" for k in range(80))
+    rows = [(3, long, "a", 1), (7, long, "b", 2), (7, other, "c", 3), (7, other, "c", 3), (None, long, "d", 4), (None, other + " more", "e", 5), (None, "quite another text", "f", 6), (9, None, "g", 7), (8, "", "h", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, _keep long")
+    got = p.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter(map(tuple, got.collect())) == Counter([rows[0], rows[2], rows[6], rows[8]])
