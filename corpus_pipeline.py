@@ -8,11 +8,11 @@ stage begins, as its result has been written by then.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, packing, pii, simhash, toxicity
-from spanloom.llm.common import clear_scratch, read_table, remainder, shared_dir, written
+from spanloom.llm.common import clear_scratch, free_name, read_table, remainder, shared_dir, written
 
 _SCOPE = "pipeline"
 
@@ -32,18 +32,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id stays, one row only.
+    """One row of each group of near-duplicates stays: the one with the smallest id, ids that are null last.
 
-    Rows without an id belong to no group and stay.
+    Rows are told apart by id and a hash of all their columns (maps aside), so
+    another text under the same id is judged by its own group. Of rows that are
+    equal in all of them one stays.
     """
     clear_scratch(spark, _SCOPE)
-    found = simhash.near_duplicates(docs, scope=_SCOPE)
-    keep = found.filter("id = component").select(F.col("id").alias("_keep")).distinct()
-    staying = docs.join(keep, docs["doc_id"] == F.col("_keep"), "left_semi")
-    # repeated ids: the first text of an id stays
-    first = Window.partitionBy("doc_id").orderBy("text")
-    unique = staying.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return unique.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    row, i = free_name(docs, "_row", "_id")
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    last = F.lit((1 << 63) - 1)
+    found = simhash.near_duplicates(docs, scope=_SCOPE, tag=whole)
+    first = found.groupBy("root").agg(F.min(F.struct(F.coalesce("id", last).alias("id"), "tag")).alias("first"))
+    keep = first.select(F.col("first.id").alias(i), F.col("first.tag").alias(row)).distinct()
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), last), row: whole})
+    return keyed.join(keep, [i, row], "left_semi").dropDuplicates([i, row]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
