@@ -135,37 +135,115 @@ def test_lm_base_against_brute_force(spark, documents):
     n, v = sum(counts.values()), len(counts)
     rows = lm.op2(spark, SF).collect()
     assert len(rows) == len(documents)
-    texts, better = dict(documents), []
+    texts = dict(documents)
     for r in rows:
         tokens = [*(texts[r.doc_id] or "").encode().lower().split(), None]
         want = sum(np.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(tokens), sum(t in counts for t in tokens), n)
         assert r.base_score == pytest.approx(want, rel=1e-9)
         assert r.score < 0
-        if r.held_out:
-            better.append(r.score - r.base_score)
-    assert sum(better) > 0
 
 
-def test_lm_is_a_distribution(spark, documents):
+def _lm(spark, documents):
     docs = spark.createDataFrame([(i, t, False) for i, t in documents], "id long, text string, held boolean")
-    vocab = lm.vocabulary(lm.word_counts(docs))
-    w = lm.train(docs, vocab)
-    x = lm.Batch([t for _, t in documents[:5]], vocab)
-    c = np.exp(lm.log_class(w, vocab, x.outer))
-    assert np.allclose(c.sum(1), 1, atol=1e-4)
-    inner = np.exp(lm.log_within(w, vocab, np.minimum(x.cls, lm.HEAD_CLASSES - 1), x.within))
-    assert np.allclose(inner.sum(1), 1, atol=1e-4)
-    assert vocab.n == sum(len((t or "").split()) + 1 for _, t in documents if True) or any(c in (t or "") for _, t in documents for c in "  ")
+    return docs, lm.vocabulary(lm.word_counts(docs))
 
 
-def test_lm_gradients_at_every_position(spark, documents):
+def test_lm_is_a_distribution(spark, documents):
+    docs, vocab = _lm(spark, documents)
+    w = lm.train(docs, vocab)
+    assert np.abs(w.w).max() > 0.01
+    x = lm.Batch([t for _, t in documents[:3]], vocab)
+    leaves = np.arange(vocab.tree.leaves)
+    for k in range(0, len(x.h), 97):
+        p = np.exp(lm.walk(w.w, vocab, leaves, np.repeat(x.features[:, [k]], len(leaves), axis=1)))
+        assert p.sum() == pytest.approx(1, abs=1e-3) and (p > 0).all()
+    # without weights a leaf has its share of the tokens, as counted
+    mass = np.concatenate((vocab.counts + 0.5, vocab.class_mass))
+    none = np.exp(lm.walk(np.zeros_like(w.w), vocab, leaves, np.repeat(x.features[:, [0]], len(leaves), axis=1)))
+    assert np.allclose(none, mass / mass.sum(), rtol=1e-3)
+
+
+def test_lm_score_against_slow_path(spark, documents):
+    """The query's score from the same weights, token by token."""
+    docs, vocab = _lm(spark, documents)
+    counts = lm.word_counts(docs)
+    seen = {r.h: r.c for r in counts.collect()}
+    w = lm.train(docs, vocab)
+    got = {r.id: r.score for r in lm.score(docs.limit(8), counts, vocab, w).collect()}
+    texts, tree, shift = dict(documents), vocab.tree, np.uint64(64 - vocab.row_bits)
+    place = {int(h): k for k, h in enumerate(vocab.words.tolist())}
+    for i, score in got.items():
+        x, total = lm.Batch([texts[i]], vocab), 0.0
+        for h, f in zip(x.h.tolist(), x.features.T, strict=True):
+            at = place.get(h)
+            if at is None:
+                cls = h >> 64 - vocab.class_bits if vocab.class_bits else 0
+                at = len(place) + cls
+                signed = h - (1 << 64) if h >> 63 else h
+                total += np.log10((seen.get(signed, 0) + 0.5) / vocab.class_mass[cls])
+            while tree.up[at] >= 0:
+                k = tree.up[at]
+                z = tree.prior[k].astype(float)
+                for v in f:
+                    with np.errstate(over="ignore"):
+                        z = z + w.w[int(((tree.key[k] ^ v) * lm._ODD) >> shift)]
+                total += (z[tree.slot[at]] - np.log(np.exp(z).sum())) / np.log(10)
+                at = k + tree.leaves
+        assert score == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_gradients_at_every_position(spark, documents, monkeypatch):
+    docs, vocab = _lm(spark, documents)
     texts = [t for _, t in documents]
-    vocab = lm.vocabulary(lm.word_counts(spark.createDataFrame([(t, False) for t in texts], "text string, held boolean")))
-    parts = [r for b in lm._trainer(SimpleNamespace(value=vocab))(iter([pa.record_batch({"text": texts})])) for r in b.to_pylist()]
+    first = SimpleNamespace(value=(vocab, lm.Weights.zero(vocab.row_bits)))
+    parts = [r for b in lm._trainer(first)(iter([pa.record_batch({"text": texts})])) for r in b.to_pylist()]
     moved = sum(np.frombuffer(r["seen"], np.float32).sum() for r in parts)
-    x = lm.Batch(texts, vocab)
-    assert moved == len(x.outer) * len(x.h) + x.head.sum()
+    steps, at = 0, lm.Batch(texts, vocab).leaf
+    while len(at):
+        around = vocab.tree.up[at]
+        at = around[around >= 0] + vocab.tree.leaves
+        steps += len(at)
+    assert moved == len(lm._SALTS) * steps
+    # and each document in one round
+    asked = []
+    monkeypatch.setattr(lm, "map_arrow", lambda df, fn, ddl: asked.append(df) or spark.createDataFrame([], ddl))
+    lm.train(docs, vocab)
+    assert len(asked) == lm.ROUNDS and Counter(r.text for df in asked for r in df.collect()) == Counter(texts)
+
+
+def test_lm_gradient_is_the_derivative():
+    r = np.random.default_rng(4)
+    mass = r.random(40) + 0.1
+    vocab = SimpleNamespace(tree=lm.Tree(mass), row_bits=8)
+    w = r.normal(size=(256, lm.WAYS)).astype(np.float64)
+    leaf, features = r.integers(0, 40, 30), r.integers(0, 1 << 62, (3, 30)).astype(np.uint64)
+    gradients = []
+    lm.walk(w.astype(np.float32), vocab, leaf, features, gradients)
+    total = np.zeros_like(w)
+    for rows, g in gradients:
+        for k in range(3):
+            np.add.at(total, rows[k], g)
+    for at in [(int(gradients[0][0][0, 0]), 3), (int(gradients[1][0][2, 1]), 0)]:
+        up, down = w.copy(), w.copy()
+        up[at] += 1e-2
+        down[at] -= 1e-2
+        slope = (lm.walk(down.astype(np.float32), vocab, leaf, features).sum() - lm.walk(up.astype(np.float32), vocab, leaf, features).sum()) / 2e-2
+        assert slope == pytest.approx(total[at], abs=0.02)
+
+
+def test_lm_beats_counts_whatever_the_partitions(spark, documents):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = []
+    for n in (5, 13, 1):
+        rows = lm.lm_scores(docs.repartition(n), lm.remainder("doc_id", 5) == 1)[0].collect()
+        assert np.mean([(r.score - r.base) / r.n_tokens for r in rows if r.held]) > 0.05
+        found.append({r.id: r.score for r in rows})
+    a, b, c = (np.array([f[k] for k in sorted(found[0])]) for f in found)
+    assert np.abs(a - b).mean() < 0.01 * np.abs(a).mean() and np.corrcoef(a, b)[0, 1] > 0.999
+    # one trainer in place of one for each core makes more steps in a row
+    assert np.abs(a - c).mean() < 0.06 * np.abs(a).mean()
 
 
 # -- 3, 4 --------------------------------------------------------------------
