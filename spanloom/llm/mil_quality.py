@@ -7,30 +7,36 @@ gated attention; a logistic unit scores the weighted sum. Only documents'
 labels are used; the attention finds the passages that decide.
 
 The model is fitted on at most SAMPLE labelled documents for each label, chosen
-by a hash of the id, and of a long one on at most TRAIN_PASSAGES passages,
-spread evenly. Scores use whole texts of any length.
+by a hash of the id, and on every passage of each. Bags stay on the executors,
+in SHARDS parts by a hash of the id; in each of EPOCHS rounds a task starts from
+the common weights, makes one pass of minibatch steps (Adam) over its bags in a
+fixed order, and the driver averages SHARDS sets of weights. So a very long
+document costs only the task that holds it, and the same tables give the same
+model, up to the order of sums.
 
 Defined results: a null or empty text is one empty passage. Repeated rows and
-ids are each scored; labels that contradict each other count as 0, labels
-without a document are ignored, null labels too. With labels of one kind only,
-or none, the score is their share, or 0.5. Extra columns are ignored; an empty
-table returns no rows.
+ids are each scored; in training an id has one text, that with the smallest
+hash. Labels that contradict each other count as 0, labels without a document
+are ignored, null labels too. With labels of one kind only, or none, the score
+is their share, or 0.5. Extra columns are ignored; an empty table returns no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .common import map_arrow, read_table, remainder, steps, to_batch, word_table
 
 PASSAGE = 64
 SAMPLE = 3000
-TRAIN_PASSAGES = 64
+SHARDS, EPOCHS, BAGS, RATE = 8, 14, 16, 0.006
 HASHED = 24
 
 _CLASS = np.full(256, 11, np.int64)  # bytes beyond ASCII
@@ -109,25 +115,28 @@ class GatedAttention:
         sizes = np.bincount(owner, minlength=m)
         return self._forward(x, np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)["y"].astype(float)
 
-    def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, bags: int = 128, rate: float = 0.004, seed: int = 6) -> GatedAttention:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        sizes = np.bincount(owner, minlength=len(y))
-        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        m, v, step, r = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0, np.random.default_rng(seed)
-        for _ in range(epochs):
-            order = r.permutation(len(y))
-            for at in range(0, len(y), bags):
-                k = order[at : at + bags]
-                n = sizes[k]
-                first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                rows = np.repeat(begin[k] - first, n) + np.arange(n.sum())
-                g = self._gradient(self._forward(x[rows], first, n), first, n, y[k], weight[k])
-                step += 1
-                for name, d in g.items():
-                    m[name] = 0.9 * m[name] + 0.1 * d
-                    v[name] = 0.999 * v[name] + 0.001 * d * d
-                    self.p[name] = (self.p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8) - rate * 1e-4 * self.p[name]).astype(np.float32)
-        return self
+    def start(self) -> None:
+        """Adam's averages at zero."""
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.steps = 0
+
+    def step(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float = RATE) -> None:
+        """One step of Adam on a minibatch of bags."""
+        n = np.array([len(x) for x in bags])
+        first = np.concatenate(([0], np.cumsum(n)[:-1]))
+        g = self._gradient(self._forward(np.concatenate(bags), first, n), first, n, y, weight)
+        self.steps += 1
+        for name, d in g.items():
+            self.m[name] = 0.9 * self.m[name] + 0.1 * d
+            self.v[name] = 0.999 * self.v[name] + 0.001 * d * d
+            self.p[name] = (self.p[name] - rate * (self.m[name] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[name] / (1 - 0.999**self.steps)) + 1e-8) - rate * 1e-4 * self.p[name]).astype(np.float32)
+
+    def average(self, others: list[tuple[int, GatedAttention]]) -> None:
+        """Weights and Adam's averages become those of ``others``, by their numbers of bags."""
+        total = sum(n for n, _ in others)
+        for part in ("p", "m", "v"):
+            setattr(self, part, {k: (sum(n * getattr(o, part)[k] for n, o in others) / total).astype(np.float32) for k in self.p})
+        self.steps = max(o.steps for _, o in others)
 
     def _gradient(self, f: dict[str, np.ndarray], first: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -142,49 +151,93 @@ class GatedAttention:
         return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": f["z"].T @ e, "d": np.array([e.sum()])}
 
 
-_FEATURE = pa.schema([("y", pa.int32()), ("x", pa.binary())])
+_FEATURE = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("x", pa.binary())])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).to_pylist()
+        texts = b.column(2).to_pylist()
         for lo, hi in steps(texts):
             x, owner = passages(texts[lo:hi])
-            out = []
-            for k in range(hi - lo):
-                own = x[owner == k]
-                out.append(own[np.unique(np.linspace(0, len(own) - 1, min(len(own), TRAIN_PASSAGES)).astype(int))].tobytes())
-            yield to_batch(_FEATURE, [b.column(0).slice(lo, hi - lo), out])
+            edge = np.searchsorted(owner, np.arange(hi - lo + 1))
+            yield to_batch(_FEATURE, [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [x[edge[k] : edge[k + 1]].tobytes() for k in range(hi - lo)]])
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, label: str, train: Column, limit: int) -> DataFrame:
-    """y and text of at most ``limit`` documents for each label, chosen by a hash of the id."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("y"))
+    """key (the id), y and text of at most ``limit`` documents for each label, chosen by a hash of the id.
+
+    Of rows with one id the text with the smallest hash counts.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(label).cast("int").alias("y"))
     ids = None
     for y in (0, 1):
         some = known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(limit)
         ids = some if ids is None else ids.unionByName(some)
     # at most twice ``limit`` rows of two numbers
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("y", docs["text"].alias("text"))
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
+    return found.groupBy(F.col("_id").alias("key"), "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def _bags(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.float32).reshape(-1, WIDTH) for x in b.column("x").to_pylist()]
+
+
+_MOMENTS = pa.schema([("n", pa.int64()), ("sum", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total, squares = 0, np.zeros(WIDTH), np.zeros(WIDTH)
+    for b in batches:
+        for x in _bags(b):
+            n, total, squares = n + len(x), total + x.sum(0, dtype=float), squares + np.square(x, dtype=float).sum(0)
+    yield to_batch(_MOMENTS, [[n], [total.tolist()], [squares.tolist()]])
+
+
+_MODEL = pa.schema([("n", pa.int64()), ("model", pa.binary())])
+
+
+def _trainer(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, weights = pickle.loads(shared.value)
+        n = 0
+        for b in batches:
+            bags, ys = _bags(b), np.array(b.column("y").to_pylist(), np.float32)
+            for at in range(0, len(bags), BAGS):
+                y = ys[at : at + BAGS]
+                model.step(bags[at : at + BAGS], y, np.where(y == 1, weights[1], weights[0]).astype(np.float32))
+            n += len(bags)
+        if n:
+            yield to_batch(_MODEL, [[n], [pickle.dumps(model)]])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """The model, from a bounded sample whose vectors come to the driver."""
+    """The model, from a bounded sample of rows; the driver receives SHARDS sets of weights in a round."""
     known = labels.filter(F.col(label).isNotNull() & train)
     share = known.agg(F.avg(label).alias("s")).first().s
     model = GatedAttention()
-    rows = map_arrow(sample_labels(docs, labels, label, train, sample).repartition(12), _vectors, "y int, x binary").collect()
-    y = np.array([r.y for r in rows], np.float32)
-    if not len(y) or y.min() == y.max():
+    vectors = map_arrow(sample_labels(docs, labels, label, train, sample), _vectors, "key long, y int, x binary")
+    bags = vectors.repartition(SHARDS, "key").sortWithinPartitions(F.xxhash64("key"), "key").persist(StorageLevel.DISK_ONLY)  # made anew if lost
+    counts = {r.y: r["count"] for r in bags.groupBy("y").count().collect()}
+    if len(counts) < 2:
         model.constant = 0.5 if share is None else float(share)
+        bags.unpersist()
         return model
-    bags = [np.frombuffer(bytes(r.x), np.float32).reshape(-1, WIDTH) for r in rows]
-    order = np.random.default_rng(1).permutation(len(y))
-    owner = np.repeat(np.arange(len(y)), [len(bags[k]) for k in order])
-    y = y[order]
+    found = map_arrow(bags, _moments, "n long, sum array<double>, squares array<double>").collect()
+    n = sum(r.n for r in found)
+    mean, squares = (np.sum([r[k] for r in found], axis=0) / n for k in (1, 2))
+    model.mean, model.scale = mean.astype(np.float32), (np.sqrt(np.maximum(squares - mean * mean, 0)) + 1e-3).astype(np.float32)
     # weights restore the labels' shares, tempered so that the rarer label is learnt well
-    weight = np.where(y == 1, np.sqrt(max(share, 0.01) / max(y.mean(), 0.01)), np.sqrt(max(1 - share, 0.01) / max(1 - y.mean(), 0.01))).astype(np.float32)
-    return model.fit(np.concatenate([bags[k] for k in order]), owner, y, weight)
+    y = counts[1] / (counts[0] + counts[1])
+    weights = float(np.sqrt(max(1 - share, 0.01) / max(1 - y, 0.01))), float(np.sqrt(max(share, 0.01) / max(y, 0.01)))
+    model.start()
+    for _ in range(EPOCHS):
+        shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, weights)))  # fixed size
+        model.average([(r.n, pickle.loads(bytes(r.model))) for r in map_arrow(bags, _trainer(shared), "n long, model binary").collect()])
+        shared.unpersist()
+    bags.unpersist()
+    return model
 
 
 _SCORE = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("score", pa.float64())])

@@ -3,8 +3,11 @@
 Words that look disguised (leet signs among letters, letters repeated three
 times or more, letters set apart by spaces or points) become a lattice of
 characters: a sign stands for the letters it imitates, a repeated letter may be
-dropped, a separator vanishes. Viterbi decoding under a character language
-model of order ORDER picks the likeliest word. Tokens of any length are decoded,
+dropped, a separator vanishes. Viterbi decoding, exact, under a character
+language model of order ORDER picks the likeliest word. The model counts the
+words of all documents, which need no labels; its counts are in a table of
+2**GRAM_BITS places by a hash of the n-gram, so its size is fixed, and n-grams
+that share a place add up. Tokens of any length are decoded,
 in time linear in it. In a run of three or more single characters each space may
 vanish or be a word boundary; every word that the decoded run gives is looked
 up, as decoded and as spelt. Plain words have a lattice of one path and are taken as
@@ -16,12 +19,14 @@ labels; a logistic unit weighs the two largest, and how many there are.
 
 Lexicon and unit are fitted on at most SAMPLE labelled documents for each
 label, chosen by a hash of the id; a training document's own count is left out
-when its features are computed. Scores use whole texts of any length.
+when its features are computed. The lexicon is every unit of those documents
+with a bound above zero, which takes six toxic documents at least, so it has at
+most a sixth of the units of SAMPLE documents. Scores use whole texts of any length.
 
 Defined results: a null or empty text has no word and gets the score that this
 implies. Repeated rows and ids are each scored; contradicting labels count as
 0, labels without a document and null labels are ignored. With labels of one
-kind, or none, the score is 0. Extra columns are ignored (``clean`` keeps
+kind the score is their share, with none 0. Extra columns are ignored (``clean`` keeps
 them); an empty table returns no rows.
 """
 
@@ -33,18 +38,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .common import map_arrow, read_table, remainder, to_batch
+from .common import map_arrow, mix64, read_table, remainder, to_batch
 from .mil_quality import sample_labels
 
 SAMPLE = 4000
 ORDER = 4
-BEAM = 48
-LEXICON = 20_000
-GRAMS = 200_000
+GRAM_BITS = 21
+#: The table of counts is summed in so many parts.
+PARTS = 16
 PREFIXES = (3, 4, 5, 6, 7)
 
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou"}
@@ -60,37 +67,79 @@ _EDGE = ".,;:?!\"'()[]{}<>|&%*#$+-_/\\~“”‘’…"
 _LEAD = "".join(c for c in _EDGE if c not in "$+(")
 
 
+_EDGE_CODES = np.array([ord("^"), ord("$")], np.uint64)
+_TIMES, _TOTAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
+_LETTER = np.zeros(0x110000, bool)
+
+
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    if not _LETTER[ord("a")]:
+        _LETTER[:] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _LETTER
+
+
 class CharacterModel:
-    """Interpolated character n-gram model with counts in a dictionary."""
+    """Interpolated character n-gram model with counts in a table by hash."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.memo = table, {}
+        self.shift = 64 - (len(table).bit_length() - 1)
 
-    def __init__(self, grams: dict[str, int]):
-        self.grams, self.memo = grams, {}
+    def place(self, codes: list[int], total: bool) -> int:
+        """Where an n-gram, or the total of a history, is counted; as count_grams has it."""
+        v = 0
+        for c in codes:
+            v = v * int(_TIMES) + c & (1 << 64) - 1
+        h = v ^ int(_TOTAL) if total else v
+        return int(mix64(np.array([h], np.uint64))[0]) >> self.shift
 
     def cost(self, history: str, letter: str) -> float:
         """-log P(letter | history); histories start with ``^``, words end with ``$``."""
         key = history + letter
         if (c := self.memo.get(key)) is None:
-            p = 1 / 64
+            p, codes = 1 / 64, [*map(ord, key)]
             for k in range(min(len(history), ORDER - 1) + 1):
-                h = history[len(history) - k :]
-                total = self.grams.get(h + "\0", 0)
-                p = (self.grams.get(h + letter, 0) + 2 * p) / (total + 2)
+                own = codes[len(history) - k :]
+                total = float(self.table[self.place([k, *own[:-1]], True)])
+                p = (min(float(self.table[self.place([k, *own], False)]), total) + 2 * p) / (total + 2)
             if len(self.memo) > 200_000:
                 self.memo.clear()
             c = self.memo[key] = -math.log(p)
         return c
 
-
-def grams_of(word: str, n: int, into: Counter) -> None:
-    """Count the n-grams of ``word`` and, with NUL, their histories."""
-    s = "^" + word + "$"
-    for i in range(1, len(s)):
-        for k in range(ORDER):
-            if i - k < 0:
-                break
-            h = s[i - k : i]
-            into[h + s[i]] += n
-            into[h + "\0"] += n
+    def __getstate__(self):
+        return {"table": self.table, "memo": {}, "shift": self.shift}
+
+
+def count_grams(words: dict[str, int], table: np.ndarray) -> None:
+    """Add the n-grams of the words' letter runs, each between ``^`` and ``$``, and their histories, to ``table``."""
+    if not words:
+        return
+    text = "\n" + "\n".join(words) + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.cumsum(codes == 10) - 1
+    letter = _letters()[np.minimum(codes, 0x10FFFF)]
+    # of what is no letter, one place before a run is its beginning, and one behind it its end
+    begins, ends = ~letter[:-1] & letter[1:], letter[:-1] & ~letter[1:]
+    n = np.fromiter(words.values(), np.int64, len(words))
+    run = np.cumsum(letter & ~np.concatenate(([False], letter[:-1])))
+    at = np.concatenate((np.flatnonzero(begins) * 3 + 2, np.flatnonzero(letter) * 3 + 1, np.flatnonzero(ends) * 3 + 3))
+    value = np.concatenate((np.full(begins.sum(), _EDGE_CODES[0]), codes[letter].astype(np.uint64), np.full(ends.sum(), _EDGE_CODES[1])))
+    own = np.concatenate((run[1:][begins], run[letter], run[:-1][ends]))
+    weight = np.concatenate((n[np.minimum(word[1:][begins], len(n) - 1)], n[word[letter]], n[word[:-1][ends]])).astype(float)
+    order = np.argsort(at, kind="stable")
+    value, own, weight = value[order], own[order], weight[order]
+    shift = np.uint64(64 - (len(table).bit_length() - 1))
+    first = np.concatenate(([True], own[1:] != own[:-1]))
+    place = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+    for k in range(ORDER):
+        i = np.flatnonzero(place >= max(k, 1))
+        v = np.full(len(i), k, np.uint64)
+        for d in range(k, 0, -1):
+            v = v * _TIMES + value[i - d]
+        for h in (v ^ _TOTAL, v * _TIMES + value[i]):
+            table += np.bincount((mix64(h) >> shift).astype(np.int64), weight[i], len(table))
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -114,8 +163,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel, beam: int) -> list[str]:
-    """What each place of a lattice stands for: Viterbi over (last letters), widest ``beam`` states."""
+def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel) -> list[str]:
+    """What each place of a lattice stands for: Viterbi over all states, a state being the last letters."""
     states: dict[str, tuple[float, tuple | None]] = {"^": (0.0, None)}
     for options in options_of:
         new: dict[str, tuple[float, tuple | None]] = {}
@@ -129,8 +178,6 @@ def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel,
                     key, c = history, cost + extra
                 if key not in new or c < new[key][0]:
                     new[key] = (c, (letter, path))
-        if len(new) > beam:
-            new = dict(sorted(new.items(), key=lambda x: x[1][0])[:beam])
         states = new
     path = min((cost + model.cost(history, "$"), history, path) for history, (cost, path) in states.items())[2]
     out = []
@@ -140,12 +187,12 @@ def _likeliest(options_of: list[list[tuple[str, float]]], model: CharacterModel,
     return out[::-1]
 
 
-def decode(token: str, model: CharacterModel, beam: int = BEAM) -> str:
+def decode(token: str, model: CharacterModel) -> str:
     """The likeliest word behind ``token``."""
-    return "".join(_likeliest(lattice(token), model, beam))
+    return "".join(_likeliest(lattice(token), model))
 
 
-def decode_run(run: str, model: CharacterModel, beam: int = BEAM) -> list[tuple[str, str]]:
+def decode_run(run: str, model: CharacterModel) -> list[tuple[str, str]]:
     """The likeliest words of letters set apart by spaces, each with the signs it was read from.
 
     A space vanishes or is a word boundary.
@@ -155,7 +202,7 @@ def decode_run(run: str, model: CharacterModel, beam: int = BEAM) -> list[tuple[
         if k:
             options.append([("", 0.0), (" ", 0.0)])
         options.append(place)
-    chosen = _likeliest(options, model, beam)
+    chosen = _likeliest(options, model)
     out, word, start = [], "", 0
     for k, letter in enumerate(chosen[::2]):
         word += letter
@@ -225,6 +272,7 @@ class Detector:
     def __init__(self, lexicon: dict[str, tuple[int, int]], totals: tuple[int, int], model: CharacterModel):
         self.lexicon, self.totals, self.model = lexicon, totals, model
         self.weights, self.bias = np.zeros(3), -30.0
+        self.constant: float | None = None
 
     def word(self, word: str, own: int | None = None) -> float:
         """The largest bound among a word's units; ``own``: leave out one document of this label."""
@@ -248,6 +296,8 @@ class Detector:
         return np.array([hits[0] if hits else 0.0, hits[1] if len(hits) > 1 else 0.0, math.log1p(sum(s > 1 for s in hits))])
 
     def score(self, x: np.ndarray) -> float:
+        if self.constant is not None:
+            return self.constant
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30))))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
@@ -309,15 +359,34 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield to_batch(_UNIT, [list(counts[y]), [y] * len(counts[y]), list(counts[y].values())])
 
 
-_GRAM = pa.schema([("g", pa.string()), ("n", pa.int64())])
+_TABLE = pa.schema([("part", pa.int32()), ("value", pa.binary())])
+_TABLE_DDL = "part int, value binary"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table, words = np.zeros(1 << GRAM_BITS), Counter()
     for b in batches:
-        out: Counter = Counter()
-        for u, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            grams_of(u[1:], n, out)
-        yield to_batch(_GRAM, [list(out), list(out.values())])
+        for text in b.column(0).to_pylist():
+            words.update((text or "").lower().split())
+            if len(words) > 200_000:
+                count_grams(words, table)
+                words.clear()
+    count_grams(words, table)
+    cut = len(table) // PARTS
+    yield to_batch(_TABLE, [list(range(PARTS)), [table[p * cut : (p + 1) * cut].tobytes() for p in range(PARTS)]])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum([np.frombuffer(v, np.float64) for v in pdf["value"]], axis=0)
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "value": [total.tobytes()]})
+
+
+def character_model(docs: DataFrame) -> CharacterModel:
+    """Counts over all texts: as many tasks as cores, a table each, summed in two levels; the driver receives PARTS rows."""
+    tasks = map_arrow(docs.select("text").coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)), _grams, _TABLE_DDL).withColumn("salt", (F.rand(7) * 64).cast("int"))
+    level = tasks.groupBy("part", "salt").applyInPandas(lambda pdf: _summed(pdf), _TABLE_DDL)
+    found = {r.part: np.frombuffer(bytes(r.value)) for r in level.groupBy("part").applyInPandas(lambda pdf: _summed(pdf), _TABLE_DDL).collect()}
+    return CharacterModel(np.concatenate([found[p] for p in range(PARTS)]).astype(np.float32) if found else np.zeros(1 << GRAM_BITS, np.float32))
 
 
 _X = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -335,25 +404,27 @@ def _train_features(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE) -> Detector:
-    """The detector, from a bounded sample; the driver receives LEXICON units, GRAMS n-grams and 2 * sample rows."""
-    rows = sample_labels(docs, labels, label, train, sample).repartition(24).cache()
+    """The detector: lexicon and unit from a bounded sample of rows, the character model from all of ``docs``.
+
+    The driver receives the lexicon, 2 * sample rows of three numbers and PARTS rows of counts.
+    """
+    rows = sample_labels(docs, labels, label, train, sample).select("y", "text").repartition(24).persist(StorageLevel.DISK_ONLY)  # made anew if lost
     totals = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         rows.unpersist()
-        return Detector({}, (toxic, clean), CharacterModel({}))
-    each = map_arrow(rows, _units, "u string, y int, n long").groupBy("u").agg(F.sum(F.col("y") * F.col("n")).alias("tp"), F.sum((1 - F.col("y")) * F.col("n")).alias("fp")).cache()
+        detector = Detector({}, (toxic, clean), CharacterModel(np.zeros(1 << GRAM_BITS, np.float32)))
+        detector.constant = float(toxic > 0)
+        return detector
+    each = map_arrow(rows, _units, "u string, y int, n long").groupBy("u").agg(F.sum(F.col("y") * F.col("n")).alias("tp"), F.sum((1 - F.col("y")) * F.col("n")).alias("fp"))
     odds = F.log((F.col("tp") + 0.5) / (toxic + 1)) - F.log((F.col("fp") + 0.5) / (clean + 1))
     lower = odds - 1.64 * F.sqrt(1 / (F.col("tp") + 0.5) + 1 / (F.col("fp") + 0.5))
-    lexicon = each.filter(F.col("tp") >= 2).withColumn("b", lower).filter("b > 0").orderBy(F.desc("b"), "u").limit(LEXICON).collect()
-    words = each.filter(F.col("u").startswith("=") & (F.col("tp") + F.col("fp") >= 2)).select("u", (F.col("tp") + F.col("fp")).alias("n"))
-    grams = map_arrow(words, _grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(GRAMS).collect()
-    detector = Detector({r.u: (r.tp, r.fp) for r in lexicon}, (toxic, clean), CharacterModel({r.g: r.n for r in grams}))
-    shared = docs.sparkSession.sparkContext.broadcast(detector)  # at most LEXICON and GRAMS entries
+    lexicon = each.filter(lower > 0).collect()
+    detector = Detector({r.u: (r.tp, r.fp) for r in lexicon}, (toxic, clean), character_model(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(detector)  # at most a sixth of SAMPLE documents' units, and 2**GRAM_BITS counts
     got = map_arrow(rows, _train_features(shared), "y int, x array<double>").collect()
     y = np.array([r.y for r in got], float)
     detector.fit(np.array([r.x for r in got]), y, np.where(y == 1, 1.0, math.sqrt(max(1.0, toxic / clean))))
-    each.unpersist()
     rows.unpersist()
     return detector
 
@@ -373,13 +444,13 @@ def _scorer(shared):
 
 def toxicity(docs: DataFrame, detector: Detector, held: Column) -> DataFrame:
     """id, held, score of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(detector)  # at most LEXICON and GRAMS entries
+    shared = docs.sparkSession.sparkContext.broadcast(detector)  # of bounded size, see fit
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("id"), held.alias("held"), F.col("text").alias("text")), _scorer(shared), "id long, held boolean, score double")
 
 
 def clean(docs: DataFrame, detector: Detector, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, whole, whose text scores below ``threshold``."""
-    shared = docs.sparkSession.sparkContext.broadcast(detector)  # at most LEXICON and GRAMS entries
+    shared = docs.sparkSession.sparkContext.broadcast(detector)  # of bounded size, see fit
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -288,12 +289,142 @@ def test_attention_gradient():
         flat[at] += 1e-5
 
 
+def slow_passages(text):
+    """The vectors of a text's passages, one word at a time."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    _, _, _, _, hashes = mil_quality.word_table([data])
+    out = []
+    for at in range(0, max(1, len(spans)), mil_quality.PASSAGE):
+        own, hs = spans[at : at + mil_quality.PASSAGE], hashes[at : at + mil_quality.PASSAGE].tolist()
+        x = np.zeros(mil_quality.WIDTH)
+        out.append(x)
+        if not own:
+            continue
+        stop = spans[at + len(own)][0] if at + len(own) < len(spans) else len(data) + 1
+        raw = (data + b" ")[own[0][0] : stop]
+        c, n = mil_quality.CLASSES, len(own)
+        for byte in raw:
+            x[mil_quality._CLASS[byte]] += 1 / len(raw)
+        size = [hi - lo for lo, hi in own]
+        x[c : c + 3] = n / mil_quality.PASSAGE, sum(size) / n / 10, np.sqrt(sum(k * k for k in size) / n) / 10
+        x[c + 3] = (n - len(set(hs))) / n
+        x[c + 4] = sum(a == b for a, b in zip(hs, hs[1:], strict=False)) / n
+        x[c + 5] = sum(a == b for a, b in zip(hs, hs[2:], strict=False)) / n
+        x[c + 6] = sum(k == 1 for k in size) / n
+        x[c + 7] = sum(mil_quality._CLASS[data[hi - 1]] >= 6 for _, hi in own) / n
+        x[c + 8] = sum(k > 20 for k in size) / n
+        for h in hs:
+            x[c + 9 + h % mil_quality.HASHED] += (1 - 2 * (h >> 40 & 1)) / np.sqrt(n)
+    return np.array(out)
+
+
+def slow_quality(model, text):
+    p = model.p
+    h = [np.tanh((x - model.mean) / model.scale @ p["W"] + p["b"]) for x in slow_passages(text)]
+    e = [np.exp(sum(p["w"][j] * np.tanh(v @ p["V"][:, j]) / (1 + np.exp(-(v @ p["U"][:, j]))) for j in range(len(p["w"])))) for v in h]
+    z = sum(a * v for a, v in zip(e, h, strict=True)) / sum(e)
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))
+
+
+def test_quality_query_against_slow_path(spark, documents, monkeypatch):
+    fitted = []
+    true = mil_quality.fit
+    monkeypatch.setattr(mil_quality, "fit", lambda *a: fitted.append(true(*a)) or fitted[0])
+    got = {r.doc_id: r for r in mil_quality.op3(spark, SF).collect()}
+    assert len(got) == len(documents) and fitted[0].steps > 0
+    for i, t in documents:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert got[i].score == pytest.approx(slow_quality(fitted[0], t), abs=1e-3)
+    again = {r.doc_id: r.score for r in mil_quality.op3(spark, SF).collect()}
+    assert all(again[i] == pytest.approx(got[i].score, abs=1e-4) for i in again)
+
+
+def test_quality_learns_from_every_passage(spark):
+    texts = ["word " * 20_000, "a b c " * 50, None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1, "another text of one id")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int")
+    rows = mil_quality.sample_labels(docs, labels, "quality", mil_quality.F.lit(True), 10)
+    found = {r["key"]: np.frombuffer(bytes(r.x), np.float32).reshape(-1, mil_quality.WIDTH) for r in mil_quality.map_arrow(rows, mil_quality._vectors, "key long, y int, x binary").collect()}
+    assert rows.count() == 3 and len(found[0]) == -(-20_000 // mil_quality.PASSAGE) and len(found[2]) == 1
+    assert np.allclose(found[0], slow_passages(texts[0]), atol=1e-5)
+
+
+@pytest.mark.parametrize(("fit", "label", "none"), [(mil_quality.fit, "quality", 0.5), (toxicity.fit, "toxic", 0.0)])
+def test_labels_of_one_kind(spark, fit, label, none):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(4)], "doc_id long, text string")
+    for rows, want in (([(0, 1), (1, 1)], 1.0), ([(0, 0), (2, 0)], 0.0), ([], none), ([(99, 1)], 1.0 if label == "quality" else 0.0)):
+        labels = spark.createDataFrame(rows, f"doc_id long, {label} int")
+        assert fit(docs, labels, mil_quality.F.lit(True)).constant == want
+
+
+def character_model(words):
+    table = np.zeros(1 << 16)
+    toxicity.count_grams(words, table)
+    return toxicity.CharacterModel(table.astype(np.float32))
+
+
+def test_character_counts_against_slow_path(spark, documents):
+    words = {"stupid": 3, "idiot's": 2, "über": 5, "1d10t": 1, "...": 4, "漢字😀x": 2, "a": 7}
+    model, counts = character_model(words), Counter()
+    for w, n in words.items():
+        for run in re.findall(r"[^\W\d_]+", w):
+            s = "^" + run + "$"
+            for i in range(1, len(s)):
+                for k in range(min(i, toxicity.ORDER - 1) + 1):
+                    counts[s[i - k : i], s[i]] += n
+                    counts[s[i - k : i], None] += n
+    for (h, x), n in counts.items():
+        codes = [len(h), *map(ord, h)] + ([] if x is None else [ord(x)])
+        assert model.table[model.place(codes, x is None)] >= n
+    assert model.table.sum() == sum(counts.values())
+    whole = toxicity.character_model(spark.createDataFrame(documents, "doc_id long, text string").repartition(3)).table
+    table = np.zeros(1 << toxicity.GRAM_BITS)
+    toxicity.count_grams(Counter(w for _, t in documents for w in (t or "").lower().split()), table)
+    assert np.array_equal(whole, table.astype(np.float32))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abi01$*.-sst", min_size=1, max_size=6))
+def test_decoding_is_the_best_of_all_paths(token):
+    model = MODEL
+    best = {}
+    for path in itertools.product(*toxicity.lattice(token)):
+        word, cost = "".join(x for x, _ in path), sum(c for _, c in path)
+        s = "^" + word
+        cost += sum(model.cost(s[max(0, k - toxicity.ORDER + 1) : k], x) for k, x in enumerate(s + "$") if k)
+        best[word] = min(cost, best.get(word, 1e9))
+    assert best[toxicity.decode(token, model)] == pytest.approx(min(best.values()))
+
+
+MODEL = character_model({"bias": 9, "assist": 7, "basis": 5, "sit": 4, "is": 9, "a": 6, "bats": 3})
+
+
+def test_toxicity_query_against_slow_path(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    fitted = []
+    true = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: fitted.append(true(*a)) or fitted[0])
+    rows = toxicity.op4(spark, d).collect()
+    detector = fitted[0]
+    for r in rows:
+        tokens = texts[r.doc_id].split()
+        # the largest bound of any word of each distinct token that isn't one character, and the runs of single ones
+        hits = [max([detector.word(w) for w in toxicity.words_of(t, detector.model)], default=0.0) for t in set(tokens) if len(t) > 1]
+        for run in toxicity.spaced(tokens):
+            own = sorted(x for x in (max(detector.word(w), detector.word(raw)) for w, raw in toxicity.decode_run(run, detector.model)) if x > 0)
+            whole = max(detector.word(run), detector.word(toxicity.decode(run, detector.model)))
+            hits += own[:-1] + [whole] if whole > max(own, default=0.0) else own
+        hits = sorted((x for x in hits if x > 0), reverse=True) + [0.0, 0.0]
+        z = detector.bias + detector.weights @ [hits[0], hits[1], np.log1p(sum(x > 1 for x in hits))]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_deobfuscation():
-    grams = Counter()
-    for w, n in {"stupid": 50, "idiot": 50, "loser": 50, "trash": 50, "worthless": 40, "letter": 30, "the": 90, "there": 40, "lot": 30}.items():
-        toxicity.grams_of(w, n, grams)
-    model = toxicity.CharacterModel(grams)
-    for token, word in {"1d10t": "idiot", "st*pid": "stupid", "$tup1d": "stupid", "l0ser": "loser", "tr@sh": "trash", "stuuupid": "stupid", "i.d.i.o.t": "idiot", "w0rthl3ss!!": "worthless"}.items():
+    model = character_model({"stupid": 50, "idiot": 50, "loser": 50, "trash": 50, "worthless": 40, "letter": 30, "the": 90, "there": 40, "lot": 30})
+    for token, word in {"1d10t": "idiot", "st*pid": "stupid", "$tup1d": "stupid", "l0ser": "loser", "tr@sh": "trash", "stuuupid": "stupid", "i.d.i.o.t": "idiot", "w0rthl3ss!!": "worthless", "w0rthl3ss" + "s" * 30: "worthless"}.items():
         assert word in toxicity.words_of(token, model)
     assert toxicity.spaced("you i d i o t there".split()) == ["idiot"]
     for plain in ("letter", "word***", "4366089147969128", "x.02@mail5.example.com", "12.5%"):
@@ -301,10 +432,7 @@ def test_deobfuscation():
 
 
 def test_long_tokens_are_decoded():
-    grams = Counter()
-    for w, n in {"stupid": 50, "idiot": 50, "loser": 50, "the": 90, "there": 40, "lot": 30}.items():
-        toxicity.grams_of(w, n, grams)
-    model = toxicity.CharacterModel(grams)
+    model = character_model({"stupid": 50, "idiot": 50, "loser": 50, "the": 90, "there": 40, "lot": 30})
     for token in ("idi" + "o" * 40 + "t", "i" + "." * 30 + "d.i.o.t", "1" * 20 + "d10" + "0" * 40 + "t", "-~.-~.-~".join("idiot")):
         assert len(token) > 32
         assert "idiot" in toxicity.words_of(token, model)
@@ -312,10 +440,8 @@ def test_long_tokens_are_decoded():
 
 
 def test_spaced_words():
-    grams, words = Counter(), {"idiot": 50, "loser": 50, "ass": 50, "as": 80, "the": 90, "there": 40, "lot": 30, "a": 90, "i": 80, "you": 90, "are": 90}
-    for w, n in words.items():
-        toxicity.grams_of(w, n, grams)
-    detector = toxicity.Detector({"=idiot": (50, 0), "=loser": (40, 0), "=ass": (50, 0)}, (100, 100), toxicity.CharacterModel(grams))
+    words = {"idiot": 50, "loser": 50, "ass": 50, "as": 80, "the": 90, "there": 40, "lot": 30, "a": 90, "i": 80, "you": 90, "are": 90}
+    detector = toxicity.Detector({"=idiot": (50, 0), "=loser": (40, 0), "=ass": (50, 0)}, (100, 100), character_model(words))
 
     def hits(text):
         return detector.features(text, toxicity._Memo(detector)).tolist()
@@ -358,6 +484,18 @@ def test_unigram_model_is_rebuilt():
     assert pieces.rebuild(m).encode("ab  a").tokens == ["▁ab", "▁a"]
 
 
+def test_pieces_query_against_the_library(spark, documents):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = {r.doc_id: r for r in pieces.op5(spark, SF).collect()}
+    assert set(got) == {i for i, _ in documents}
+    for i, t in documents:
+        ids = theirs.encode(t or "")
+        assert (got[i].n_ids, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert got[i].round_trip == (theirs.decode(ids) == (t or ""))
+
+
 # -- 6 -----------------------------------------------------------------------
 
 
@@ -386,11 +524,30 @@ def test_base_spans_like_the_patterns(text):
 def test_pii_query(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    selector = pii.train()
     for r in pii.op6(spark, d).collect():
         want = slow_spans(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for k, *_ in want) for j in range(4)]
         assert r.base_sha256 == hashlib.sha256(pii.listed(want).encode()).hexdigest()
         assert set(filter(None, pii.listed(want).split(","))) <= set(r.spans.split(","))
+        assert r.spans == pii.listed(slow_selection(texts[r.doc_id], want, selector))
+
+
+def slow_selection(text, base, selector):
+    """Base spans, and the best candidate again and again while one above its threshold overlaps nothing chosen."""
+    chosen, left = list(base), set()
+    for kind, _, pattern in pii.GENERATORS:
+        for m in pattern.finditer(text):
+            lo = m.start() + (re.match("\\s?[=:]\\s?[\"']?", m.group()) or re.match("", "")).end() * (kind == 6)
+            if lo < m.end():
+                left.add((kind, lo, m.end()))
+    while True:
+        free = [c for c in left if all(c[2] <= lo or hi <= c[1] for _, lo, hi in chosen)]
+        scored = [(-selector.scores(np.array([pii.features(text, c)]))[0], c) for c in free]
+        scored = [x for x in scored if -x[0] >= selector.thresholds[x[1][0]]]
+        if not scored:
+            return chosen
+        chosen.append(min(scored)[1])
 
 
 def test_trees_select():
