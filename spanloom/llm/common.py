@@ -97,24 +97,28 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
 HOT = 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner", hot: int = HOT) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner", hot: int = HOT, total: int | None = None, floor: int = 0) -> DataFrame:
     """Join of ``left`` with the one row that ``right`` has for a key, in which no task takes a hot key's rows.
 
     sizes: keys and n, how many rows of ``left`` a key has; counted if not given.
-    Keys with more than 1/hot of all rows, fewer than ``hot``, come to the driver.
+    total: all rows, or more; counted if not given. Keys with more than 1/hot of
+    all rows (fewer than ``hot``) and ``floor`` rows at least come to the driver.
     Their rows are dealt by a hash of the whole row to parts of about total/hot
     rows, and their right row is copied for each part, so that at most twice
     ``hot`` copies are made. Columns other than the keys must differ in name.
     """
+    if total is not None and total < floor:
+        return left.join(right, keys, how)
     if sizes is None:
         sizes = left.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    found = sizes.filter(F.col("n") * hot > total).select(*keys, F.ceil(F.col("n") * hot / total).cast("int").alias("_parts")).collect() if total else []
+    total = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    asked = sizes.filter((F.col("n") * hot > total) & (F.col("n") >= floor))
+    found = asked.select(*keys, F.ceil(F.col("n") * hot / total).cast("int").alias("_parts")).collect() if total else []
     if not found:
         return left.join(right, keys, how)
     schema = sizes.select(*keys).schema.add("_parts", T.IntegerType())
     parts = F.broadcast(left.sparkSession.createDataFrame(found, schema))
-    row = F.xxhash64(*[c for c in left.columns])
+    row = F.xxhash64(*left.columns)
     dealt = left.withColumn("_row", row).join(parts, keys, "left").withColumn("_part", F.coalesce(F.pmod("_row", F.col("_parts")), F.lit(0)).cast("int")).drop("_row", "_parts")
     copied = right.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
     return dealt.join(copied, [*keys, "_part"], how).drop("_part")

@@ -28,6 +28,8 @@ from .common import map_arrow, spread_join, to_batch, written
 
 SHINGLE = 4
 RADIUS = 4
+#: Edges from which a node's edges are dealt to several tasks.
+HUB = 100_000
 _SCHEMA = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
 
@@ -111,26 +113,26 @@ def components(edges: DataFrame, scope: str = "query") -> DataFrame:
     """node, root (the smallest node of its component), by alternating stars.
 
     ``edges``: a, b. Each round joins a neighbourhood's minimum back to its
-    edges; a hub's edges are dealt to several tasks. Rounds are written to the
+    edges; the edges of a hub with HUB or more are dealt to several tasks. Rounds are written to the
     shared folder and grow with the logarithm of the longest chain.
     """
     state = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", scope)
-    before = None
+    n, before = state.count(), None
     while True:
         # large star: each larger neighbour is joined to the smallest of the neighbourhood
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
-        large = spread_join(both.filter("v > u"), least.select("u", "m"), ["u"], least.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.distinct(), "stars", scope)
+        large = spread_join(both.filter("v > u"), least.select("u", "m"), ["u"], least.select("u", "n"), total=n, floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "stars", scope) if n >= HUB else large
         # small star: the node and its smaller neighbours are joined to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low.select("u", "m"), ["u"], low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = spread_join(large, low.select("u", "m"), ["u"], low.select("u", "n"), total=n, floor=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         state = written(small.filter("u <> v").distinct(), "stars", scope)
         sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))]
         after = tuple(state.agg(*sums).first())
         if after == before:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = after
+        n, before = after[0], after
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, scope: str = "query", tag: Column | None = None) -> DataFrame:

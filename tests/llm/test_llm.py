@@ -120,6 +120,25 @@ def test_every_plan_finds_every_link(spark, monkeypatch, m):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 4}
 
 
+@pytest.mark.parametrize("hub", [0, 100_000])
+def test_components_are_those_of_the_graph(spark, monkeypatch, hub):
+    monkeypatch.setattr(simhash, "HUB", hub)
+    r = random.Random(8)
+    edges = [(1, k) for k in range(2, 90)] + [(k, k + 1) for k in range(200, 230)] + [tuple(r.sample(range(300, 400), 2)) for _ in range(60)] + [(5, 5), (7, 2), (2, 7)]
+    root = {k: k for e in edges for k in e}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {k: find(k) for k in root if find(k) != k}
+
+
 def test_plan_follows_size():
     assert [simhash.choose_segments(n) for n in (10**5, 10**7, 10**11)] == [4, 3, 2]
 
