@@ -17,7 +17,7 @@ from .operators import detect, formats, office, spans
 from .operators.tree import escape
 from .plans import engine
 from .plans.engine import Settings
-from .sources.tables import read_table, upsert
+from .sources.tables import merged_styles, read_files, read_table, scratch, upsert, value_of, write_lines
 from .streaming import codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,7 +391,8 @@ def _injected_sql(change: str) -> str:
 
 
 def _line_state(spark: SparkSession, sf: str) -> engine.State:
-    return engine.extract(_docs(spark, sf), Settings(format="line", stream="visl"))
+    """Saved, so that blocks and documents come of one extraction."""
+    return engine.extract(_docs(spark, sf), Settings(format="line", stream="visl")).save(scratch(spark, "state"))
 
 
 def _shouted(state: engine.State) -> DataFrame:

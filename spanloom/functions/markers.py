@@ -26,6 +26,23 @@ BLANK = r"[\t-\r \x85\p{Z}]"
 SOLID = r"[^\t-\r \x85\p{Z}]"
 CONTENT = r"[\p{L}\p{N}\p{M}\p{Pc}]"
 
+#: The characters above mean structure only to this engine. In a document's own text each stands, from reading to
+#: writing, as a character of another private plane.
+_OWN = "".join((HASH_SEP, OPEN_B, OPEN_E, CLOSE, CHARSET, BLOCK_B, BLOCK_M, BLOCK_N, BLOCK_E, SENTINEL, PROT_B, PROT_E, RAW_B, RAW_E, NAME_B, NAME_E))
+_AWAY = {ord(c): chr(0xF0000 + ord(c) - 0xE000) for c in _OWN}
+_HOME = {ord(v): chr(k) for k, v in _AWAY.items()}
+_ANY_OWN, _ANY_AWAY = re.compile(f"[{_OWN}]"), re.compile(f"[{''.join(_AWAY.values())}]")
+
+
+def shielded(text: str) -> str:
+    """A document's own characters in place of marker characters."""
+    return text.translate(_AWAY) if _ANY_OWN.search(text) else text
+
+
+def unshielded(text: str) -> str:
+    return text.translate(_HOME) if _ANY_AWAY.search(text) else text
+
+
 Rules = list[tuple[str, str]]
 
 

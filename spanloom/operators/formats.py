@@ -53,7 +53,7 @@ LB_RULES: Rules = [
     (f"({_WORDY})<lb/>", '$1 <lb tf-added-before="1"/>'),
     (f"<lb/>({_WORDY})", '<lb tf-added-after="1"/> $1'),
 ]
-#: Language, country and revision marks that split equal text.
+# Language, country and revision marks that split equal text.
 ODT_CHAFF: Rules = [(rf' {a}="[^"]+"', "") for a in ("fo:language", "style:language-complex", "style:language-asian", "fo:country", "style:country-complex", "style:country-asian", "officeooo:paragraph-rsid", "officeooo:rsid")] + [("<style:text-properties/>", "")]
 
 _FRAGMENT_HEAD = '<!DOCTYPE html>\n<html><head><meta charset="utf-8"></head><body>'
@@ -131,6 +131,13 @@ def text_as_html(text: str, by_line: bool) -> str:
     return f"{_FRAGMENT_HEAD}<p>{body}</p>{_FRAGMENT_TAIL}".replace("</body></html>", "</body>\n</html>")
 
 
+def clean_text(text: Column, by_line: bool) -> Column:
+    """What extraction and injection make of a plain text, as an expression."""
+    if not by_line:
+        text = F.regexp_replace(text, r"(?U)\n[^\S\n]*(?:\n[^\S\n]*)+", "\n\n")
+    return F.translate(text, "\u00ad", "")
+
+
 _BODY = re.compile(r"<body[^>]*>(.*)</body>", re.S | re.I)
 
 

@@ -7,7 +7,6 @@ helper that stands outside a text element gets a run of its own.
 
 from __future__ import annotations
 
-import copy
 import io
 import re
 import zipfile
@@ -19,6 +18,7 @@ from .tree import Found, Node, parse, serialise
 
 DOCX_MAIN = "word/document.xml"
 
+# Elements and attributes of the formats that say nothing about the text, but split it.
 DOCX_CHAFF: Rules = (
     [(f' {a}="{v}"', "") for a, v in (("xml:space", "preserve"), ("w:eastAsiaTheme", "minorHAnsi"), ("w:type", "textWrapping"))]
     + [(f' w:{a}="[^"]+"', "") for a in ("rsidP", "rsidRDefault", "rsidR", "rsidRPr", "rsidDel")]
@@ -98,7 +98,7 @@ def _split_run(run: Node, text_tag: str, props: str) -> list[Node]:
     for g in groups:
         new = Node("e", run.name)
         new.attrs = [list(a) for a in run.attrs]
-        for k in [*copy.deepcopy(own), *g]:
+        for k in [*(x.copy() for x in own), *g]:
             new.add(k)
         new.up = run.up
         out.append(new)
@@ -169,18 +169,14 @@ def unmerge_runs(root: Node, prefix: str) -> None:
     """Helpers dissolve; texts that stand outside a text element get a run of their own."""
     text_tag = f"{prefix}:t"
 
-    def wrap(node: Node) -> None:
-        for i, k in enumerate(node.kids):
-            if k.kind == "t" and node.name != text_tag and k.text:
-                run = Node("e", f"{prefix}:r")
-                run.add(Node("e", text_tag)).add_text(k.text)
-                run.up = node
-                node.kids[i] = run
-            elif k.kind == "e":
-                wrap(k)
-
     for helper in [n for n in root.walk() if n.name == "tf-text"]:
-        wrap(helper)
+        for node in list(helper.walk()):
+            for i, k in enumerate(node.kids):
+                if k.kind == "t" and node.name != text_tag and k.text:
+                    run = Node("e", f"{prefix}:r")
+                    run.add(Node("e", text_tag)).add_text(k.text)
+                    run.up = node
+                    node.kids[i] = run
         # runs without a text say nothing
         kids = [k for k in helper.kids if not (k.name == f"{prefix}:r" and any(t.name == text_tag for t in k.kids) and not k.all_text())]
         at = next(i for i, k in enumerate(helper.up.kids) if k is helper)

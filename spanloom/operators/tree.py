@@ -1,7 +1,7 @@
 """Trees of one document: parsing, white space, span tagging, blocks, restoring, serialising.
 
 The functions work on one document and run inside Arrow batches, one pass for
-each document. The HTML parser recovers from errors by these rules: a block
+each document, with stacks of their own, so that no depth of nesting fails. The HTML parser recovers from errors by these rules: a block
 start closes an open paragraph and the phrases in it; items, cells and rows
 close their like up to their list or table; an end tag closes what is open down
 to its start, but not beyond a cell; an end tag without a start, and a second
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,8 +21,6 @@ from ..functions.hashing import short_hash, style_hash
 from ..functions.markers import BLANK, BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, CONTENT, NAME_B, NAME_E, OPEN_B, OPEN_E, CLOSE, PROT_B, PROT_E, SENTINEL, SMALL_GT, SMALL_LT, SOLID, rewrite_text
 from .spans import PROTECTED_MERGE, PROTECTED_RELEASE, normalise_text
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # depth of a document's nesting
-
 _TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<\?(?P<pi>.*?)\??>|<!(?P<decl>[^>]*)>|</\s*(?P<end>[^\s>/]+)[^>]*>|<(?P<start>[A-Za-z_][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ENTITY = re.compile(r"&(?:(lt|gt|quot|apos|amp)|#(\d+)|#[xX]([0-9A-Fa-f]+));")
@@ -91,6 +88,16 @@ class Node:
             yield n
             todo += reversed(n.kids)
 
+    def copy(self) -> Node:
+        """The subtree on its own."""
+        top = Node(self.kind, self.name, self.text)
+        todo = [(self, top)]
+        while todo:
+            old, new = todo.pop()
+            new.attrs = [list(a) for a in old.attrs]
+            todo += [(k, new.add(Node(k.kind, k.name, k.text))) for k in old.kids]
+        return top
+
     def all_text(self) -> str:
         return "".join(n.text for n in self.walk() if n.kind == "t")
 
@@ -112,14 +119,23 @@ def parse(markup: str, html: bool = False) -> Node:
     """The tree of a document; never fails."""
     root = top = Node("r")
     once: dict[str, Node] = {}
+    opened: dict[str, int] = {}
     at, end = 0, len(markup)
 
-    def close(names: set[str], until: frozenset[str] | set[str]) -> None:
+    def leave(n: Node) -> None:
+        """Close what is open down to and with ``n``."""
         nonlocal top
+        while top is not n.up:
+            opened[top.name] -= 1
+            top = top.up
+
+    def close(names: set[str], until: frozenset[str] | set[str]) -> None:
+        if not any(opened.get(x) for x in names):
+            return
         n = top
         while n.kind == "e" and n.name not in until:
             if n.name in names:
-                top = n.up
+                leave(n)
                 n = top
             else:
                 n = n.up
@@ -131,7 +147,7 @@ def parse(markup: str, html: bool = False) -> Node:
         if stop > at:
             text = _unescape(markup[at:stop], html)
             if html and top.name == "head" and not _BLANK_ONLY.fullmatch(text):
-                top = top.up
+                leave(top)
             top.add_text(text)
         if not m:
             at = stop
@@ -147,11 +163,11 @@ def parse(markup: str, html: bool = False) -> Node:
                 top.add(Node("i", text=m["pi"]))
         elif kind == "end":
             name = m["end"].lower() if html else m["end"]
-            n = top
+            n = top if opened.get(name) else root
             while n.kind == "e" and n.name != name:
                 n = root if html and n.name in _CELLS and name not in _CELLS and name not in ("tr", "tbody", "thead", "tfoot", "html", "body") else n.up
             if n.kind == "e":
-                top = n.up
+                leave(n)
         elif kind == "start":
             name = m["start"].lower() if html else m["start"]
             attrs: list[list[str]] = []
@@ -166,9 +182,9 @@ def parse(markup: str, html: bool = False) -> Node:
                                 once[name].attrs.append([k, v])
                         continue
                     if name == "body" and top.name == "head":
-                        top = top.up
+                        leave(top)
                 elif top.name == "head" and name not in _HEAD:
-                    top = top.up
+                    leave(top)
                 if name in _BLOCKS:
                     close({"p"}, _CELLS | {"button", "object"})
                 if name in _CLOSES:
@@ -182,6 +198,7 @@ def parse(markup: str, html: bool = False) -> Node:
                 at = shut.end() if shut else end
             elif not (m["empty"] and not html or html and name in VOID):
                 top = node
+                opened[name] = opened.get(name, 0) + 1
     return root
 
 
@@ -202,19 +219,31 @@ def open_tag(node: Node) -> str:
 
 def serialise(node: Node, html: bool = False) -> str:
     """Markup of a tree: XML, or HTML with void elements and raw scripts."""
-    if node.kind == "t":
-        return node.text if html and node.up is not None and node.up.name in ("script", "style") else escape(node.text, quotes=False)
-    if node.kind == "c":
-        return f"<!--{node.text}-->"
-    if node.kind == "i":
-        return f"<?{node.text}?>"
-    inner = "".join(serialise(k, html) for k in node.kids)
-    if node.kind == "r":
-        return inner
-    if html:
-        attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;").replace("<", "&lt;").replace(">", "&gt;")}"' for k, v in node.attrs)
-        return f"<{node.name}{attrs}>" + ("" if node.name in VOID else f"{inner}</{node.name}>")
-    return f"{open_tag(node)}{inner}</{node.name}>" if node.kids else f"<{node.name}{_attrs(node)}/>"
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.kind == "t":
+            out.append(n.text if html and n.up is not None and n.up.name in ("script", "style") else escape(n.text, quotes=False))
+        elif n.kind == "c":
+            out.append(f"<!--{n.text}-->")
+        elif n.kind == "i":
+            out.append(f"<?{n.text}?>")
+        elif n.kind == "r":
+            todo += reversed(n.kids)
+        elif html:
+            attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;").replace("<", "&lt;").replace(">", "&gt;")}"' for k, v in n.attrs)
+            out.append(f"<{n.name}{attrs}>")
+            if n.name not in VOID:
+                todo += [f"</{n.name}>", *reversed(n.kids)]
+        elif n.kids:
+            out.append(open_tag(n))
+            todo += [f"</{n.name}>", *reversed(n.kids)]
+        else:
+            out.append(f"<{n.name}{_attrs(n)}/>")
+    return "".join(out)
 
 
 @dataclass(frozen=True)
@@ -228,6 +257,7 @@ class TagClasses:
     semantic: frozenset[str] = frozenset()
     unique: frozenset[str] = frozenset()
     parents_allow: frozenset[str] = frozenset()
+    parents_direct: frozenset[str] = frozenset()
     attrs: frozenset[str] = frozenset()
     headers: frozenset[str] = frozenset()
     attrs_headers: frozenset[str] = frozenset()
@@ -258,39 +288,47 @@ class Found:
         return h
 
 
-def save_spaces(node: Node, classes: TagClasses) -> None:
-    """Blanks at the edges of texts are noted on the elements around them."""
+def save_spaces(root: Node, classes: TagClasses) -> None:
+    """Blanks at the edges of texts are noted on the elements around them, in document order."""
+    todo = [(root, 0)]
+    while todo:
+        node, i = todo.pop()
+        while i < len(node.kids):
+            n = node.kids[i]
+            i += 1
+            if n.kind == "t":
+                _save_space(node, i - 1)
+            elif n.kind == "e" and n.lower not in classes.prot:
+                todo.append((node, i))
+                node, i = n, 0
+
+
+def _save_space(node: Node, i: int) -> None:
     kids = node.kids
-    for i, n in enumerate(kids):
-        if n.kind == "e":
-            if n.lower not in classes.prot:
-                save_spaces(n, classes)
-            continue
-        if n.kind != "t":
-            continue
-        before = kids[i - 1] if i and kids[i - 1].kind == "e" else None
-        after = kids[i + 1] if i + 1 < len(kids) and kids[i + 1].kind == "e" else None
-        if _BLANK_ONLY.fullmatch(n.text):
-            if node.kind == "e" and i == 0:
-                node.set("tf-space-prefix", n.text)
-            elif node.kind == "e" and i == len(kids) - 1:
-                node.set("tf-space-suffix", n.text)
-            elif before is not None:
-                before.set("tf-space-after", n.text)
-            elif after is not None:
-                after.set("tf-space-before", n.text)
-            continue
-        lead, _, tail = _EDGES.fullmatch(n.text).groups()
-        if lead:
-            if before is not None:
-                before.set("tf-space-after", lead)
-            elif node.kind == "e" and i == 0:
-                node.set("tf-space-prefix", lead)
-        if tail:
-            if after is not None:
-                after.set("tf-space-before", tail)
-            elif node.kind == "e" and i == len(kids) - 1:
-                node.set("tf-space-suffix", tail)
+    n = kids[i]
+    before = kids[i - 1] if i and kids[i - 1].kind == "e" else None
+    after = kids[i + 1] if i + 1 < len(kids) and kids[i + 1].kind == "e" else None
+    if _BLANK_ONLY.fullmatch(n.text):
+        if node.kind == "e" and i == 0:
+            node.set("tf-space-prefix", n.text)
+        elif node.kind == "e" and i == len(kids) - 1:
+            node.set("tf-space-suffix", n.text)
+        elif before is not None:
+            before.set("tf-space-after", n.text)
+        elif after is not None:
+            after.set("tf-space-before", n.text)
+        return
+    lead, _, tail = _EDGES.fullmatch(n.text).groups()
+    if lead:
+        if before is not None:
+            before.set("tf-space-after", lead)
+        elif node.kind == "e" and i == 0:
+            node.set("tf-space-prefix", lead)
+    if tail:
+        if after is not None:
+            after.set("tf-space-before", tail)
+        elif node.kind == "e" and i == len(kids) - 1:
+            node.set("tf-space-suffix", tail)
 
 
 def _is_blank(n: Node) -> bool:
@@ -308,55 +346,61 @@ def only_child(node: Node, classes: TagClasses) -> bool:
         node = node.up
 
 
-def _with_blocks(node: Node, classes: TagClasses, out: set[int]) -> bool:
-    """Notes the elements that hold a block element; returns whether ``node`` is or holds one."""
-    inside = False
-    for k in node.kids:
-        if k.kind == "e":
-            inside |= _with_blocks(k, classes, out)
-    if inside:
-        out.add(id(node))
-    return inside or node.kind == "e" and node.lower not in classes.inline and node.lower not in classes.prot_inline
+def _with_blocks(root: Node, classes: TagClasses) -> set[int]:
+    """The elements that hold a block element."""
+    out: set[int] = set()
+    blocks: set[int] = set()
+    for n in reversed(list(root.walk())):  # what is inside comes first
+        if any(id(k) in blocks for k in n.kids):
+            out.add(id(n))
+            blocks.add(id(n))
+        elif n.kind == "e" and n.lower not in classes.inline and n.lower not in classes.prot_inline:
+            blocks.add(id(n))
+    return out
 
 
 def tag_spans(root: Node, classes: TagClasses, found: Found) -> str:
     """The document as a string in which inline elements are spans and protected parts are marked."""
-    holds: set[int] = set()
-    _with_blocks(root, classes, holds)
+    holds = _with_blocks(root, classes)
     unique = 0
-
-    def render(node: Node, protect: bool) -> str:
-        nonlocal unique
-        out = []
-        for k in node.kids:
-            name = k.lower
-            if k.kind == "t":
-                out.append(k.text if node.lower in classes.raw else escape(k.text))
-                continue
-            if k.kind in "ci":
-                out.append(f"{PROT_B}<!--{k.text}-->{PROT_E}" if k.kind == "c" else f"{PROT_B}<?{k.text}?>{PROT_E}")
-                if protect:
-                    out[-1] = out[-1][1:-1]
-                continue
-            if name in classes.unique:
-                unique += 1
-                k.set("tf-unique", str(unique))
-            own = protect or name in classes.prot or k.get("tf-protect") is not None
-            if not k.kids:
-                plain = f"<{k.name}{_attrs(k)}/>"
-                out.append(f"{PROT_B}{plain}{PROT_E}" if name in classes.prot_inline and not own else plain)
-                continue
-            otag, ctag = open_tag(k), f"</{k.name}>"
-            if name in classes.prot_inline and not own:
-                out.append(f"{PROT_B}{otag}{render(k, True)}{ctag}{PROT_E}")
-            elif not own and name in classes.inline and not (k.kids[0].kind == "e" and k.kids[0].lower in classes.prot) and (name in classes.semantic or not only_child(k, classes)) and id(k) not in holds:
-                tag = k.name.rpartition(":")[2]
-                out.append(f"{OPEN_B}{tag}:{found.style(tag, otag, ctag)}{OPEN_E}{render(k, False)}{CLOSE}")
-            else:
-                out.append(otag + render(k, own) + ctag)
-        return "".join(out)
-
-    return render(root, False)
+    out: list[str] = []
+    todo: list[tuple[Node, bool] | str] = [(k, False) for k in reversed(root.kids)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        k, protect = item
+        if k.kind == "t":
+            out.append(k.text if k.up.lower in classes.raw else escape(k.text))
+            continue
+        if k.kind in "ci":
+            markup = f"<!--{k.text}-->" if k.kind == "c" else f"<?{k.text}?>"
+            out.append(markup if protect else f"{PROT_B}{markup}{PROT_E}")
+            continue
+        name = k.lower
+        if name in classes.unique:
+            unique += 1
+            k.set("tf-unique", str(unique))
+        own = protect or name in classes.prot or k.get("tf-protect") is not None
+        if not k.kids:
+            plain = f"<{k.name}{_attrs(k)}/>"
+            out.append(f"{PROT_B}{plain}{PROT_E}" if name in classes.prot_inline and not own else plain)
+            continue
+        otag, ctag = open_tag(k), f"</{k.name}>"
+        if name in classes.prot_inline and not own:
+            out.append(PROT_B + otag)
+            inside, close = True, ctag + PROT_E
+        elif not own and name in classes.inline and not (k.kids[0].kind == "e" and k.kids[0].lower in classes.prot) and (name in classes.semantic or not only_child(k, classes)) and id(k) not in holds:
+            tag = k.name.rpartition(":")[2]
+            out.append(f"{OPEN_B}{tag}:{found.style(tag, otag, ctag)}{OPEN_E}")
+            inside, close = False, CLOSE
+        else:
+            out.append(otag)
+            inside, close = own, ctag
+        todo.append(close)
+        todo += [(x, inside) for x in reversed(k.kids)]
+    return "".join(out)
 
 
 _REGION = re.compile(f"{PROT_B}([^{PROT_B}{PROT_E}]*){PROT_E}")
@@ -388,20 +432,22 @@ def take_blocks(root: Node, classes: TagClasses, found: Found, more: bool = Fals
         found.blocks.append({"block_no": number, "block_id": block_id, "kind": kind, "attr_name": attr, "is_header": header, "body": body})
         return f"{BLOCK_B}{block_id}{BLOCK_M}{text}{BLOCK_N}{block_id}{BLOCK_E}"
 
-    def visit(node: Node, allowed: bool, header: bool) -> None:
-        for k in node.kids:
-            name = k.lower
-            if k.kind == "t":
-                if allowed and node.get("tf-protect") is None and has.search(k.text):
-                    k.text = block(k.text, "text", None, header)
-            elif k.kind == "e" and name not in classes.prot and name not in classes.prot_inline:
-                for a in names:
-                    value = k.get(a)
-                    if value and has.search(value):
-                        k.set(a, block(value, "attribute", a, a in classes.attrs_headers))
-                visit(k, allowed or name in classes.parents_allow, header or name in classes.headers)
-
-    visit(root, not classes.parents_allow, False)
+    todo = [(k, not classes.parents_allow, False) for k in reversed(root.kids)]
+    while todo:
+        k, allowed, header = todo.pop()
+        name = k.lower
+        if k.kind == "t":
+            direct = not classes.parents_direct or k.up.lower in classes.parents_direct
+            if allowed and direct and k.up.get("tf-protect") is None and has.search(k.text):
+                k.text = block(k.text, "text", None, header)
+        elif k.kind == "e" and name not in classes.prot and name not in classes.prot_inline:
+            for a in names:
+                value = k.get(a)
+                if value and has.search(value):
+                    k.set(a, block(value, "attribute", a, a in classes.attrs_headers))
+            inside = allowed or name in classes.parents_allow, header or name in classes.headers
+            todo += [(x, *inside) for x in reversed(k.kids)]
+
     found.skeleton = serialise(root)
     at = {b["block_id"]: 0 for b in found.blocks}
     for place, m in enumerate(re.finditer(f"{BLOCK_B}([^{BLOCK_M}]*){BLOCK_M}", found.skeleton)):
@@ -426,7 +472,7 @@ def restore_spaces(root: Node, keep: bool = True, added: bool = True) -> None:
     one comes back with the text that follows, as other tools have it.
     """
 
-    def visit(node: Node) -> None:
+    for node in root.walk():
         kids = node.kids
         for i, n in enumerate(kids):
             before = kids[i - 1] if i and kids[i - 1].kind == "e" else None
@@ -450,9 +496,6 @@ def restore_spaces(root: Node, keep: bool = True, added: bool = True) -> None:
                     kids[i - 1].text = regex.sub(f"{BLANK}+$", "", kids[i - 1].text)
                 if added and n.pop("tf-added-after") is not None and i + 1 < len(kids) and kids[i + 1].kind == "t":
                     kids[i + 1].text = regex.sub(f"^{BLANK}+", "", kids[i + 1].text)
-                visit(n)
-
-    visit(root)
     for node in list(root.walk()):
         out: list[Node] = []
         for n in node.kids:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.markers import BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, rewrite_text
+from ..functions.markers import BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, rewrite_text, shielded, unshielded
 from ..operators import detect, formats, office
 from ..operators.spans import expand_text, normalise_text
 from ..operators.tree import Found, TagClasses, escape, finish, keep_regions, parse, restore_spaces
@@ -71,16 +71,17 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
         classes = s.classes(fmt)
         more = (s.extend, s.extract_more, s.mangle_xml)
         if fmt == "docx" and (main := office.docx_main(parts)):
-            finish(office.styled_runs(office.undeclared(parts[main]), "w", found, s.extend), classes, found, *more)
+            finish(office.styled_runs(shielded(office.undeclared(parts[main])), "w", found, s.extend), classes, found, *more)
         elif fmt == "pptx" and (names := office.slides(parts)):
-            xml = "<tf-slides>" + "".join(office.undeclared(parts[n]) for n in names) + "</tf-slides>"
+            xml = "<tf-slides>" + "".join(shielded(office.undeclared(parts[n])) for n in names) + "</tf-slides>"
             finish(office.styled_runs(xml, "a", found, s.extend), classes, found, *more)
         elif fmt in ("odt", "odp") and parts.get("content.xml"):
-            xml = formats.same_odt_styles(rewrite_text(office.undeclared(parts["content.xml"]), formats.ODT_CHAFF))
+            xml = formats.same_odt_styles(rewrite_text(shielded(office.undeclared(parts["content.xml"])), formats.ODT_CHAFF))
             finish(keep_regions(formats.styled_tree(parse(xml), classes, found), s.stream, found), classes, found, *more)
         return fmt, found
     if text is None:
         return fmt, found
+    text = shielded(text)
     if fmt == "html" and "</html>" not in text.lower():
         fmt = "html-fragment"
     classes = s.classes(fmt)
@@ -93,6 +94,8 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
 
 
 _PLACE = re.compile(f"{BLOCK_B}([^{BLOCK_M}]*){BLOCK_M}(.*?){BLOCK_N}\\1{BLOCK_E}", re.S)
+#: Block markers that do not pair.
+_LEFT = re.compile(f"{BLOCK_B}[^{BLOCK_M}{BLOCK_N}]*{BLOCK_M}|{BLOCK_N}[^{BLOCK_E}]*{BLOCK_E}|[{BLOCK_B}{BLOCK_M}{BLOCK_N}{BLOCK_E}]")
 
 
 def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[str, str] | None, original: bytes | None, s: Settings) -> tuple[str | None, bytes | None]:
@@ -105,10 +108,12 @@ def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[s
         return m[2] if body is None else body if s.inject_raw else escape(body, lines=s.stream == "cg")
 
     look = lambda tag, h: styles.get((tag, h))
-    markup = expand_text(normalise_text(_PLACE.sub(text, skeleton), s.extend), look)
+    filled = _LEFT.sub("", _PLACE.sub(text, skeleton))
+    markup = expand_text(normalise_text(filled, s.extend), look)
     root = parse(re.sub(r' tf-unique="\d+"', "", markup))
     restore_spaces(root, keep=s.stream != "apertium", added=fmt != "tei")
-    hook = s.hook or (lambda x: x)
+    edit = s.hook or (lambda x: x)
+    hook = lambda x: edit(unshielded(x))
     if fmt in ZIPPED:
         back = {"docx": office.docx_out, "pptx": office.pptx_out}.get(fmt, office.odt_out)
         return None, back(root, original, hook)
@@ -232,12 +237,24 @@ def inject(state: State, blocks: DataFrame, ordered: bool = False, seq: str = "s
     return _map(joined, one, _RENDERED_ARROW, "format string, text string, content binary", key)
 
 
+def _plain(s: Settings) -> bool:
+    """Whether a document is plain text that comes back as it was, but for the blanks between paragraphs."""
+    return s.format in ("text", "line") and s.stream != "apertium" and s.hook is None and not s.tags
+
+
 def clean(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", content: str = "text", name: str | None = None) -> DataFrame:
-    """id, format, text, content: documents with normalised spans; one pass, no shuffle."""
+    """id, format, text, content: documents with normalised spans; one pass, no shuffle.
+
+    Plain texts and lines have no spans: what cleaning them means is a projection.
+    """
     s = settings or Settings()
+    prepared = _prepared(docs, s, id_col, content, name)
+    if _plain(s):
+        text = F.when(F.col("content").isNull(), formats.clean_text(F.col("text"), s.format == "line"))
+        return prepared.select(F.col("id").alias(id_col), "format", text.alias("text"), "content")
 
     def one(fmt: str, text: str | None, data: bytes | None) -> tuple:
         fmt, found = extract_one(fmt, text, data, s)
         return fmt, *render_one(fmt, _doctype(text), found.skeleton, found.styles, None, data, s)
 
-    return _map(_prepared(docs, s, id_col, content, name), one, _RENDERED_ARROW, "format string, text string, content binary", id_col)
+    return _map(prepared, one, _RENDERED_ARROW, "format string, text string, content binary", id_col)

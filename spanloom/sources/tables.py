@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +39,23 @@ def value_of(info: DataFrame, doc_id: int, key: str) -> DataFrame:
 
 
 def merged_styles(styles: DataFrame, keys: tuple[str, ...] = ("doc_id", "tag", "hash")) -> DataFrame:
-    """One row for each style. Keys stand for content; ``clashes`` over 1 tells of a collision of hashes."""
+    """One row for each style. Keys stand for content; ``clashes`` is 2 if hashes collide, else 1."""
     row = F.struct("otag", "ctag", "flags")
-    found = styles.groupBy(*keys).agg(F.min(row).alias("x"), F.approx_count_distinct(F.struct("otag", "ctag")).alias("clashes"))
+    found = styles.groupBy(*keys).agg(F.min(row).alias("x"), F.when(F.min(F.struct("otag", "ctag")) == F.max(F.struct("otag", "ctag")), 1).otherwise(2).alias("clashes"))
     return found.select(*keys, "x.*", "clashes")
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """A column as text files."""
     df.select(column).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary folder only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/spanloom/{label}-{uuid.uuid4().hex}"

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanloom import catalog
+from spanloom import catalog, catalog_documents  # noqa: F401 - the second adds its queries to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer documents pages conversations".split()
