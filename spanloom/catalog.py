@@ -80,6 +80,14 @@ def encoding_detect(spark, sf):
     return each.select("doc_id", detect.encoding(F.col("content")).alias("encoding"), detect.decoded(F.col("content")).alias("text"))
 
 
+@_query("SELECT doc_id, 'windows-1252' AS encoding, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F¡-ÿ]*') AND regexp_matches(text, '[à-ÿ]')")
+def encoding_legacy(spark, sf):
+    """Texts in one byte a letter, without a mark: the code page is guessed from the letters."""
+    fits = F.col("text").rlike(r"\A[\x00-\x7F\u00A1-\u00FF]*\z") & F.col("text").rlike("[à-ÿ]")
+    content = F.encode("text", "ISO-8859-1")
+    return _docs(spark, sf).filter(fits).select("doc_id", detect.encoding(content).alias("encoding"), detect.decoded(content).alias("text"))
+
+
 # ---- rewrites before parsing ----------------------------------------------------------------
 
 

@@ -130,10 +130,8 @@ def parse(markup: str, html: bool = False) -> Node:
             top = top.up
 
     def close(names: set[str], until: frozenset[str] | set[str]) -> None:
-        if not any(opened.get(x) for x in names):
-            return
         n = top
-        while n.kind == "e" and n.name not in until:
+        while n.kind == "e" and n.name not in until and any(opened.get(x) for x in names):
             if n.name in names:
                 leave(n)
                 n = top
@@ -335,15 +333,14 @@ def _is_blank(n: Node) -> bool:
     return n.kind == "t" and bool(_BLANK_ONLY.fullmatch(n.text))
 
 
-def only_child(node: Node, classes: TagClasses) -> bool:
-    """Whether the element fills its block: nothing but blanks beside it, nor beside the inline elements around it."""
-    while True:
-        kids = node.up.kids
-        if next(k for k in kids if not _is_blank(k)) is not node or next(k for k in reversed(kids) if not _is_blank(k)) is not node:
-            return False
-        if node.up.kind != "e" or node.up.lower not in classes.inline:
-            return True
-        node = node.up
+def only_children(root: Node, classes: TagClasses) -> set[int]:
+    """The elements that fill their block: nothing but blanks beside them, nor beside the inline elements around them."""
+    out: set[int] = set()
+    for n in root.walk():
+        solid = [k for k in n.kids if not _is_blank(k)]
+        if len(solid) == 1 and (n.kind != "e" or n.lower not in classes.inline or id(n) in out):
+            out.add(id(solid[0]))
+    return out
 
 
 def _with_blocks(root: Node, classes: TagClasses) -> set[int]:
@@ -361,7 +358,7 @@ def _with_blocks(root: Node, classes: TagClasses) -> set[int]:
 
 def tag_spans(root: Node, classes: TagClasses, found: Found) -> str:
     """The document as a string in which inline elements are spans and protected parts are marked."""
-    holds = _with_blocks(root, classes)
+    holds, alone = _with_blocks(root, classes), only_children(root, classes)
     unique = 0
     out: list[str] = []
     todo: list[tuple[Node, bool] | str] = [(k, False) for k in reversed(root.kids)]
@@ -391,7 +388,7 @@ def tag_spans(root: Node, classes: TagClasses, found: Found) -> str:
         if name in classes.prot_inline and not own:
             out.append(PROT_B + otag)
             inside, close = True, ctag + PROT_E
-        elif not own and name in classes.inline and not (k.kids[0].kind == "e" and k.kids[0].lower in classes.prot) and (name in classes.semantic or not only_child(k, classes)) and id(k) not in holds:
+        elif not own and name in classes.inline and not (k.kids[0].kind == "e" and k.kids[0].lower in classes.prot) and (name in classes.semantic or id(k) not in alone) and id(k) not in holds:
             tag = k.name.rpartition(":")[2]
             out.append(f"{OPEN_B}{tag}:{found.style(tag, otag, ctag)}{OPEN_E}")
             inside, close = False, CLOSE

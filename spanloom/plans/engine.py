@@ -98,17 +98,22 @@ _PLACE = re.compile(f"{BLOCK_B}([^{BLOCK_M}]*){BLOCK_M}(.*?){BLOCK_N}\\1{BLOCK_E
 _LEFT = re.compile(f"{BLOCK_B}[^{BLOCK_M}{BLOCK_N}]*{BLOCK_M}|{BLOCK_N}[^{BLOCK_E}]*{BLOCK_E}|[{BLOCK_B}{BLOCK_M}{BLOCK_N}{BLOCK_E}]")
 
 
-def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[str, str] | None, original: bytes | None, s: Settings) -> tuple[str | None, bytes | None]:
-    """The document with new texts for its blocks; blocks without one keep theirs."""
-    if skeleton == "":
-        return None, original
+def fill(skeleton: str, new: dict[str, str] | None, s: Settings) -> str:
+    """The skeleton with texts in the blocks' places: new ones, or their own."""
 
     def text(m: re.Match) -> str:
         body = (new or {}).get(m[1])
         return m[2] if body is None else body if s.inject_raw else escape(body, lines=s.stream == "cg")
 
+    return _LEFT.sub("", _PLACE.sub(text, skeleton))
+
+
+def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[str, str] | None, original: bytes | None, s: Settings) -> tuple[str | None, bytes | None]:
+    """The document with new texts for its blocks; blocks without one keep theirs."""
+    if skeleton == "":
+        return None, original
     look = lambda tag, h: styles.get((tag, h))
-    filled = _LEFT.sub("", _PLACE.sub(text, skeleton))
+    filled = fill(skeleton, new, s)
     markup = expand_text(normalise_text(filled, s.extend), look)
     root = parse(re.sub(r' tf-unique="\d+"', "", markup))
     restore_spaces(root, keep=s.stream != "apertium", added=fmt != "tei")
@@ -181,7 +186,10 @@ class State:
         return self.extracted.select(self.id_col, "format", "skeleton")
 
     def save(self, path: str) -> State:
-        """The state as Parquet in a shared folder, and read back: extraction isn't repeated."""
+        """The state as Parquet in a shared folder, and read back: extraction isn't repeated.
+
+        Spark's committer shows the files all at once, with their mark of success.
+        """
         self.extracted.write.mode("overwrite").parquet(path)
         return State(self.extracted.sparkSession.read.schema(self.extracted.schema).parquet(path), self.settings, self.id_col)
 
@@ -218,23 +226,42 @@ def unknown_blocks(state: State, arrivals: DataFrame) -> DataFrame:
     return arrivals.join(state.blocks.select(state.id_col, "block_id"), [state.id_col, "block_id"], "left_anti")
 
 
+def _with_new(state: State, blocks: DataFrame, ordered: bool, seq: str) -> DataFrame:
+    """Documents, each with its new bodies."""
+    key = state.id_col
+    got = accepted(state, blocks, seq) if ordered else blocks
+    first = F.min_by("body", seq) if seq in got.columns else F.min("body")
+    each = got.groupBy(key, "block_id").agg(first.alias("body")).groupBy(key).agg(F.collect_list(F.struct("block_id", "body")).alias("new"))
+    return state.extracted.select(key, "format", "doctype", "skeleton", "original", "styles").join(each, key, "left")
+
+
+def _bodies(new: list | None) -> dict[str, str]:
+    return {x["block_id"]: x["body"] for x in new or [] if x["body"] is not None}
+
+
+def filled(state: State, blocks: DataFrame, ordered: bool = False, seq: str = "seq") -> DataFrame:
+    """id, format, markup: what injection parses after it has put the texts in their places, for a look at it."""
+    s = state.settings
+
+    def one(fmt: str, doctype: bool, skeleton: str, original: bytes | None, styles: list, new: list | None) -> tuple:
+        return fmt, fill(skeleton or "", _bodies(new), s)
+
+    return _map(_with_new(state, blocks, ordered, seq), one, [("format", pa.string()), ("markup", pa.string())], "format string, markup string", state.id_col)
+
+
 def inject(state: State, blocks: DataFrame, ordered: bool = False, seq: str = "seq") -> DataFrame:
     """id, format, text, content: documents with new bodies for their blocks (id, block_id, body).
 
     A block without a new body keeps its own; one that comes twice counts where it comes first
     by ``seq``, or with the smallest body where there is no such column. ``ordered``: blocks out of order are refused.
     """
-    s, key = state.settings, state.id_col
-    got = accepted(state, blocks, seq) if ordered else blocks
-    first = F.min_by("body", seq) if seq in got.columns else F.min("body")
-    each = got.groupBy(key, "block_id").agg(first.alias("body")).groupBy(key).agg(F.collect_list(F.struct("block_id", "body")).alias("new"))
-    joined = state.extracted.select(key, "format", "doctype", "skeleton", "original", "styles").join(each, key, "left")
+    s = state.settings
 
     def one(fmt: str, doctype: bool, skeleton: str, original: bytes | None, styles: list, new: list | None) -> tuple:
         known = {(x["tag"], x["hash"]): (x["otag"], x["ctag"], x["flags"]) for x in styles or []}
-        return fmt, *render_one(fmt, doctype, skeleton, known, {x["block_id"]: x["body"] for x in new or [] if x["body"] is not None}, original, s)
+        return fmt, *render_one(fmt, doctype, skeleton, known, _bodies(new), original, s)
 
-    return _map(joined, one, _RENDERED_ARROW, "format string, text string, content binary", key)
+    return _map(_with_new(state, blocks, ordered, seq), one, _RENDERED_ARROW, "format string, text string, content binary", state.id_col)
 
 
 def _plain(s: Settings) -> bool:

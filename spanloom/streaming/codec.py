@@ -85,6 +85,13 @@ def stream_name(stream: Column) -> Column:
     return F.when(stream_kind(stream) == "apertium", F.regexp_replace(escaped, r"\\(.)", "$1")).otherwise(plain)
 
 
+def documents_of(streams: DataFrame, column: str, *keep: str) -> DataFrame:
+    """name, stream of each document in texts that hold several streams: a header begins one."""
+    at = F.when(stream_kind(F.col(column)) == "apertium", F.split(column, r"(?=\[[a-z]+:(?:\\.|[^\]\\])*\]\n\x00)")).otherwise(F.split(column, "(?=<STREAMCMD:[A-Z]+:)"))
+    each = streams.select(*keep, F.explode(at).alias("stream"))
+    return each.select(*keep, stream_name(F.col("stream")).alias("name"), "stream").filter("name <> ''")
+
+
 _UNIT = re.compile(r"\\(.)|\[\[/\]\]|\[\[((?:\\.|[^\]\\])*)\]\]|\.?\[\]|\[((?:\\.|[^\]\\])*)\]", re.S)
 _BACK = re.compile(r"\\(.)", re.S)
 _ID = re.compile(r"\[tf-block:((?:\\.|[^\]\\])*)\]")

@@ -288,3 +288,108 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.body for r in spark.table("frames").collect()) == ["one", "three [x]", "two."]
+
+
+@pytest.mark.parametrize(
+    ("fmt", "markup"),
+    [("html", "<div>" * 100_000 + "x y"), ("html", "<p>" + "<b>" * 100_000 + "x"), ("html", "<p>a<div>" * 30_000), ("html", "<div>" * 50_000 + "</b>" * 50_000), ("tei", "<TEI><p>" + "<seg>" * 30_000 + "x" + "</seg>" * 30_000 + "</p></TEI>"), ("html", "<p>y " + "<b>" * 30_000 + "x" + "</b>" * 30_000 + " z</p>")],
+)
+def test_deep_documents(fmt, markup):
+    s = Settings(stream="visl")
+    fmt, found = extract_one(fmt, markup, None, s)
+    assert render_one(fmt, False, found.skeleton, found.styles, None, None, s)[0]
+
+
+def test_deep_spans_join_at_once(monkeypatch):
+    deep = lambda tags, x: "".join(f"{OPEN_B}{t}:h{OPEN_E}" for t in tags) + x + CLOSE * len(tags)
+    for text in ("y " + deep("abc", "x") + " z", deep("ab", "x " + deep("cd", "y")), deep("a", deep("b", "") + "q"), deep("ab", "x") + CLOSE + OPEN_B):
+        want = normalise_text(text)
+        with monkeypatch.context() as m:
+            m.setattr("spanloom.operators.spans.DEEP", 0)
+            assert normalise_text(text) == want
+
+
+def test_marker_characters_in_documents():
+    odd = f"a{OPEN_B}b:zz{OPEN_E}x{CLOSE} \ue015\ue016 \ue020P:q\ue021 \ue014 b"
+    for fmt in ("text", "line"):
+        assert round_trip(odd, fmt) == odd
+    assert round_trip(f"<p>{odd} <b>c</b></p>") == f"<p>{odd} <b>c</b></p>"
+    text = f"<TEI><text><p>{odd}</p></text></TEI>"
+    assert odd in round_trip(text, "tei")
+
+
+def test_left_over_block_markers():
+    skeleton = "<p>\ue0151-x\ue016one\ue0171-x\ue018 \ue0152-y\ue016two \ue0173-z\ue018\ue018three</p>"
+    assert engine.fill(skeleton, {"1-x": "new & <b>"}, Settings()) == "<p>new &amp; &lt;b&gt; two three</p>"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b ", " ", "\n", "\n\n", "\t", "\u00ad", "&", "<", "é", "\u2028", "charset=x", "&shy;"]), max_size=10), min_size=8, max_size=8))
+def test_plain_cleaning_is_the_same_by_tree(spark, parts):
+    docs = spark.createDataFrame([(k, "".join(p)) for k, p in enumerate(parts)], "doc_id long, text string")
+    for fmt in ("text", "line"):
+        got = {r.doc_id: r.text for r in engine.clean(docs, Settings(format=fmt, stream="visl")).collect()}
+        assert got == {k: round_trip("".join(p), fmt) for k, p in enumerate(parts)}
+
+
+def test_direct_parents():
+    assert [b for _, b in blocks("<div>no<p>yes <b>x</b></p>no</div>", tags={"parents_direct": ["p"]})] == ["yes <STYLE:b:" + style_hash('<b tf-space-before=" ">', "</b>") + ">x</STYLE>"]
+
+
+def test_command_line(spark, tmp_path, capsysbinary):
+    from spanloom import cli
+
+    (tmp_path / "in").mkdir()
+    for k, x in enumerate(["same", "same\nother"]):
+        (tmp_path / "in" / f"{k}.line").write_text(x + f"\nown {k}")
+    (tmp_path / "hook").write_text("#!/bin/sh\nsed -i s/OWN/hooked/ \"$1\"\n")
+    (tmp_path / "hook").chmod(0o755)
+    state, stream, out = (str(tmp_path / x) for x in ("state", "stream", "out"))
+    for kind in ("apertium", "visl"):
+        assert cli.main(["-m", "extract", "-f", "line", "-s", kind, "-Kd", state, "-i", str(tmp_path / "in"), "-o", stream]) == 0
+        text = open(stream).read()
+        assert text.count("#") == 2 and text.count("same") == 2
+        with open(stream, "w") as f:
+            f.write(text.replace("own", "OWN"))
+        # format, state and documents are those of the header; equal blocks of two documents don't mix
+        assert cli.main(["inject", stream, out, "--debug", "--hook-inject", str(tmp_path / "hook")]) == 0
+        assert sorted(open(out).read().replace("hooked 0", "hooked 0\n").replace("hooked 1", "hooked 1\n").split("\n")) == sorted(["", "same", "hooked 0", "same", "other", "hooked 1"])
+        assert "OWN 0" in "".join(r.markup for r in spark.read.parquet(f"{state}/debug-inject-filled").collect())
+    assert cli.main(["extract", "-f", "line", "-d", state, "-s", "visl", str(tmp_path / "nothing-here"), stream]) == 0  # the extraction is used again
+    assert "own 1" in open(stream).read()
+    assert cli.main(["inject", "-K", stream, out]) == 0 and not (tmp_path / "state").exists()
+    with pytest.raises(SystemExit):
+        cli.main(["inject", stream, out])
+    assert cli.main(["clean", "-f", "line", "-s", "visl", str(tmp_path / "in" / "0.line"), out]) == 0 and open(out).read() == "same\nown 0"
+    capsysbinary.readouterr()
+    for args, want in ((["--url64", "a?>"], b"YT8-\n"), (["--hash32", "I am David."], b"qICbLQ\n"), (["--hash64", ""], b"menYUTfbRu8\n")):
+        assert cli.main(args) == 0 and capsysbinary.readouterr().out == want
+    with pytest.raises(SystemExit):
+        cli.main([])
+
+
+@pytest.mark.parametrize(
+    ("charset", "want", "text"),
+    [
+        ("cp1252", "windows-1252", "Où est l'élève ? À côté, ça va, naïve façade."),
+        ("cp1252", "windows-1252", "Größe und Übung, schön süß – „weiß“"),
+        ("cp1250", "windows-1250", "Zażółć gęślą jaźń, proszę państwa"),
+        ("cp1250", "windows-1250", "Příliš žluťoučký kůň úpěl ďábelské ódy"),
+        ("cp1251", "windows-1251", "Съешь ещё этих мягких французских булок"),
+        ("koi8-r", "KOI8-R", "Съешь ещё этих мягких французских булок"),
+        ("cp1253", "windows-1253", "Η γρήγορη αλεπού πηδάει πάνω από το σκύλο"),
+        ("shift_jis", "Shift_JIS", "日本語の文章です。漢字とかなとカタカナ"),
+        ("euc_jp", "EUC-JP", "日本語の文章です。漢字とかなとカタカナ"),
+        ("euc_kr", "EUC-KR", "한국어 문장입니다. 안녕하세요"),
+        ("gb18030", "GB18030", "这是一个简单的中文句子，我们在这里"),
+        ("big5", "Big5", "這是一個簡單的中文句子，我們在這裡"),
+    ],
+)
+def test_guessed_encodings(spark, charset, want, text):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import detect
+
+    assert detect.guess(text.encode(charset)) == (want, text)
+    row = spark.createDataFrame([(bytearray(text.encode(charset)),)], "c binary").select(detect.encoding(F.col("c")).alias("e"), detect.decoded(F.col("c")).alias("t")).first()
+    assert (row.e, row.t) == (want, text)
