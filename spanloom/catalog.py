@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.hashing import b64url, short_hash_col, short_hash_sql
+from .functions.hashing import b64url, short_hash_col, short_hash_sql, xxh64, xxh64_sql
 from .functions.markers import BLANK, CHARSET, CLOSE, CONTENT, HASH_SEP, OPEN_B, OPEN_E, PROT_B, PROT_E, SENTINEL, SMALL_GT, SMALL_LT, SOLID, rewrite, rewrite_sql
 from .operators import detect, formats, office, spans
 from .operators.tree import escape
@@ -215,6 +215,12 @@ _scalar("reduce_ws", tx.reduce_space, _REDUCE_SQL, lambda c: F.concat(F.lit("\n"
 _scalar("base64url_text", b64url, "translate(rtrim(base64(encode(x)), '='), '+/', '-_')")
 
 
+@_query(f"SELECT c_custkey, {xxh64_sql('t')} AS hash FROM (SELECT c_custkey, repeat(c_name, (c_custkey % 5)::INT) AS t FROM customer)")
+def xxh64_text(spark, sf):
+    """XXH64 of texts of none to some 90 bytes."""
+    return read_table(spark, sf, "customer").select("c_custkey", xxh64(F.repeat("c_name", (F.col("c_custkey") % 5).cast("int"))).alias("hash"))
+
+
 # ---- spans ----------------------------------------------------------------------------------
 
 _PAIR = [("([a-z]+) ([a-z]+)", f"{OPEN_B}b:AA{OPEN_E}$1{CLOSE} {OPEN_B}b:AA{OPEN_E}$2{CLOSE}")]
@@ -224,7 +230,12 @@ _SPACED = [("([a-z]+) ", f"{OPEN_B}b:AA{OPEN_E} $1 {CLOSE}")]
 _REGIONS = [("([a-z]+) ([a-z]+)", f"$1{PROT_B}P:AA{PROT_E} {PROT_B}P:BB{PROT_E}$2")]
 #: The first rule without a back-reference, and the third without look-ahead, for the lists above.
 _MERGE_AA = [(f"{OPEN_B}b:AA{OPEN_E}([^{OPEN_B}-{CLOSE}]+){CLOSE}({BLANK}*){OPEN_B}b:AA{OPEN_E}([^{OPEN_B}-{CLOSE}]+){CLOSE}", f"{OPEN_B}b:AA{OPEN_E}$1$2$3{CLOSE}")]
-_PREFIX_EATING = [(spans.ALPHA_PREFIX[0][0].replace(r"(?=\p{L})", r"(\p{L})"), spans.ALPHA_PREFIX[0][1] + "$3")]
+_PREFIX_EATING = [(f"([\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Sk}}]*[\\p{{L}}\\p{{M}}])({OPEN_B}b:AA{OPEN_E})(\\p{{L}})", "$2$1$3")]
+_SUFFIX_EATING = [(f"([\\p{{L}}\\p{{M}}]){CLOSE}(\\p{{L}}[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Sk}}]*)", f"$1$2{CLOSE}")]
+#: What joining makes of the list above, in one step.
+_NESTED_ONCE = [("([a-z]+) ([a-z]+)", f"{OPEN_B}b:AA;i:BB{OPEN_E}$1{CLOSE} $2")]
+_SPACED_ONCE = [("([a-z]+) ", f" {OPEN_B}b:AA{OPEN_E}$1{CLOSE} ")]
+_REGIONS_ONCE = [("([a-z]+) ([a-z]+)", f"$1{PROT_B}P:AA P:BB{PROT_E}$2")]
 
 
 def _span(name: str, given: list, rules: list, sql_rules: list | None = None) -> None:
@@ -232,18 +243,23 @@ def _span(name: str, given: list, rules: list, sql_rules: list | None = None) ->
 
 
 _span("span_merge", _PAIR, spans.MERGE, _MERGE_AA)
-_span("span_nested", _NEST, spans.NESTED)
+_scalar("span_nested", lambda c: rewrite(c, spans.NESTED), rewrite_sql("x", _NESTED_ONCE), lambda c: rewrite(c, _NEST))
 _span("span_alpha_prefix", _CUT, spans.ALPHA_PREFIX, _PREFIX_EATING)
-_span("span_alpha_suffix", _CUT, spans.ALPHA_SUFFIX)
-_span("span_space_out", _SPACED, spans.SPACE_OUT)
-_span("protected_merge", _REGIONS, spans.PROTECTED_MERGE)
-_ROUND = [*_MERGE_AA, *spans.NESTED, *_PREFIX_EATING, *spans.ALPHA_SUFFIX, *spans.SPACE_OUT, *_MERGE_AA]
+_span("span_alpha_suffix", _CUT, spans.ALPHA_SUFFIX, _SUFFIX_EATING)
+_scalar("span_space_out", lambda c: rewrite(c, spans.SPACE_OUT), rewrite_sql("x", _SPACED_ONCE), lambda c: rewrite(c, _SPACED))
+_scalar("protected_merge", lambda c: rewrite(c, spans.PROTECTED_MERGE), rewrite_sql("x", _REGIONS_ONCE), lambda c: rewrite(c, _REGIONS))
+_ROUND = [*_MERGE_AA, *spans.NESTED, *_PREFIX_EATING, *_SUFFIX_EATING, *spans.SPACE_OUT, *_MERGE_AA]
 _scalar("span_round", spans.one_round, rewrite_sql("x", _ROUND), lambda c: rewrite(c, _CUT), rewrite_sql("text", _CUT))
 
 
-@_query()
+_DEEP = [("([a-z]+) ([a-z]+) ", f"{OPEN_B}b:AA{OPEN_E}{OPEN_B}i:BB{OPEN_E}{OPEN_B}u:CC{OPEN_E}$1{CLOSE}{CLOSE}{CLOSE} {OPEN_B}b:AA{OPEN_E}{OPEN_B}i:BB;u:CC{OPEN_E}$2 {CLOSE}{CLOSE}")]
+
+
+@_query(f"SELECT doc_id, {rewrite_sql('x', [('((?:[a-z]+ [a-z]+ )*[a-z]+ [a-z]+) ', f'{OPEN_B}b:AA;i:BB;u:CC{OPEN_E}$1{CLOSE} ')])} AS value FROM (SELECT doc_id, translate(text, 'àâäáéèêëíîïìóôöòúûüùñçßœæÀÂÄÁÉÈÊËÍÎÏÌÓÔÖÒÚÛÜÙÑÇABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?-', repeat('.', 99)) AS x FROM documents)")
 def span_fixpoint(spark, sf):
-    return _docs(spark, sf).select("doc_id", spans.normalise(rewrite(F.col("text"), _PAIR + _CUT)).alias("value"))
+    """Spans three deep, cut by blanks: rounds until nothing changes; what is no small ASCII letter is a point."""
+    x = F.translate("text", "àâäáéèêëíîïìóôöòúûüùñçßœæÀÂÄÁÉÈÊËÍÎÏÌÓÔÖÒÚÛÜÙÑÇABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?-", "." * 99)
+    return _docs(spark, sf).select("doc_id", spans.normalise(rewrite(x, _DEEP)).alias("value"))
 
 
 @_query(f"""SELECT c_custkey, tag, hash, coalesce(otag, '') AS otag, coalesce(ctag, '') AS ctag, coalesce(flags, '') AS flags, coalesce(otag, '') || (CASE WHEN flags = 'P' THEN '' ELSE c_name END) || coalesce(ctag, '') AS expanded
@@ -357,6 +373,12 @@ def html_blocks_apertium(spark, sf):
     return _html(spark, sf).blocks
 
 
+@_query("SELECT page_id, (len(regexp_extract_all(html, '<(?:h1|title|li|td|th|p)[ >]')))::BIGINT > 0 AS some FROM pages")
+def html_pages_with_blocks(spark, sf):
+    found = _html(spark, sf, stream="visl").blocks.groupBy("page_id").agg(F.count("*").alias("n"))
+    return _pages(spark, sf).select("page_id").join(found, "page_id", "left").select("page_id", (F.coalesce("n", F.lit(0)) > 0).alias("some"))
+
+
 @_query()
 def html_blocks_per_page(spark, sf):
     return _html(spark, sf, stream="visl").blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("body")).cast("long").alias("n_chars"))

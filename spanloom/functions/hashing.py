@@ -68,3 +68,29 @@ def short_hash_sql(text: str) -> str:
     mixed = f"(SELECT list_reduce([h0, 15, 13, 16]::HUGEINT[], lambda acc, s: CASE s WHEN 15 THEN {mul('xor(acc, acc // 32768)', p2)} WHEN 13 THEN {mul('xor(acc, acc // 8192)', p3)} ELSE xor(acc, acc // 65536) END) FROM (SELECT {tail} AS h0))"
     little = f"(SELECT unhex(format('{{:02X}}{{:02X}}{{:02X}}{{:02X}}', (v % 256)::BIGINT, (v // 256 % 256)::BIGINT, (v // 65536 % 256)::BIGINT, (v // 16777216)::BIGINT)) FROM (SELECT {mixed} AS v))"
     return f"translate(rtrim(base64({little}), '='), '+/', '-_')"
+
+
+def xxh64_sql(text: str) -> str:
+    """DuckDB SQL for ``xxh64``."""
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    m = 1 << 64
+    u = lambda x: f"({x})::UHUGEINT"
+    mod = lambda x: f"(({x}) % {m}::UHUGEINT)"
+    rot = lambda x, r: mod(f"({mod(x)} * {1 << r}::UHUGEINT) + ({mod(x)} // {1 << (64 - r)}::UHUGEINT)")
+    mul = lambda x, p: mod(f"{mod(x)} * {p}::UHUGEINT")
+    h = f"hex(encode({text}))"
+    n = f"(length({h}) // 2)"
+    byte = lambda at: u(f"('0x' || substr({h}, 2 * ({at})::BIGINT + 1, 2))::BIGINT")
+    lane = lambda at, size: "(" + " + ".join(f"{byte(f'{at} + {i}')} * {1 << 8 * i}::UHUGEINT" for i in range(size)) + ")"
+    fold = lambda first, items, step: f"list_reduce(list_prepend({u(first)}, {items}), lambda acc, w: {step})"
+    one = lambda v: mul(rot(mul(v, p2), 31), p1)
+    seeds = ((p1 + p2) % m, p2, 0, (-p1) % m)
+    lanes = [fold(str(s), f"list_transform(range({n} // 32), lambda j: {lane(f'(32 * j + {8 * i})', 8)})", mul(rot(f"acc + {mul('w', p2)}", 31), p1)) for i, s in enumerate(seeds)]
+    joined = " + ".join(rot(f"v[{i + 1}]", r) for i, r in enumerate((1, 7, 12, 18)))
+    mixed = fold(mod(joined), "v", mod(f"{mul(f'xor(acc, {one("w")})', p1)} + {p4}::UHUGEINT"))
+    started = f"CASE WHEN {n} < 32 THEN {u(str(p5))} ELSE (SELECT {mixed} FROM (SELECT [{', '.join(lanes)}] AS v)) END"
+    begun, at8 = f"({n} // 32 * 32)", f"({n} // 8 * 8)"
+    eights = fold(mod(f"{started} + {u(n)}"), f"list_transform(range(({n} - {begun}) // 8), lambda j: {lane(f'({begun} + 8 * j)', 8)})", mod(f"{mul(rot(f'xor(acc, {one("w")})', 27), p1)} + {p4}::UHUGEINT"))
+    fours = fold(eights, f"list_transform(range(({n} - {at8}) // 4), lambda j: {lane(f'({at8} + 4 * j)', 4)})", mod(f"{mul(rot(f'xor(acc, {mul("w", p1)})', 23), p2)} + {p3}::UHUGEINT"))
+    tail = fold(fours, f"list_transform(range({n} // 4 * 4, {n}), lambda j: {byte('j')})", mul(rot(f"xor(acc, {mul('w', p5)})", 11), p1))
+    return f"(SELECT xor(c, c // {1 << 32}::UHUGEINT) FROM (SELECT {mul(f'xor(b, b // {1 << 29}::UHUGEINT)', p3)} AS c FROM (SELECT {mul(f'xor(a, a // {1 << 33}::UHUGEINT)', p2)} AS b FROM (SELECT {tail} AS a))))::VARCHAR"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -56,7 +58,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
+        local = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/spanloom/{label}-{uuid.uuid4().hex}"
 

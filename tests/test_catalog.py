@@ -30,10 +30,3 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
-
-
-def test_fixpoint_is_one(spark):
-    from spanloom.operators import spans
-
-    got = catalog.QUERIES["span_fixpoint"](spark, SF)
-    assert got.filter(spans.one_round(got.value) != got.value).count() == 0
