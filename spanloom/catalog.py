@@ -363,23 +363,28 @@ def _html(spark: SparkSession, sf: str, **settings) -> engine.State:
     return engine.extract(_pages(spark, sf), Settings(format="html", **settings), "page_id", "html")
 
 
-@_query()
+#: The raw pages' texts stand between a start tag and an end tag of their own, or before an unclosed break.
+_TEXT_TAGS = "title|h1|p|a|li|div|footer|td|th|blockquote"
+_PAGE_TEXT = f"<(?:{_TEXT_TAGS}|b)(?: [^>]*)?>([^<>]+)(?:</(?:{_TEXT_TAGS})>|<br>)"
+_PLAIN_TEXT = _replace_sql("x", ("'&quot;'", "'\"'"), ("'&copy;'", "'©'"), ("'&middot;'", "'·'"), ("'&lt;'", "'<'"), ("'&gt;'", "'>'"), ("'&amp;'", "'&'"))
+_PAGE_BLOCKS = f"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n))::INT AS block_no, body FROM (
+SELECT page_id, n, {_PLAIN_TEXT} AS body FROM (SELECT page_id, unnest(range(len(b))) AS n, unnest(b) AS x FROM (SELECT page_id, regexp_extract_all(html, {_q(_PAGE_TEXT)}, 1) AS b FROM pages)))
+WHERE regexp_matches(body, {_q(CONTENT)})"""
+_BLOCK_COLUMNS = ("page_id", "block_no", "block_id", "kind", "attr_name", "is_header", "body")
+_PAGE_BLOCK_ROWS = f"SELECT page_id, block_no, block_no || '-' || {short_hash_sql('body')} AS block_id, 'text' AS kind, NULL AS attr_name, false AS is_header, body FROM ({_PAGE_BLOCKS})"
+
+
+@_query(_PAGE_BLOCK_ROWS)
 def html_blocks(spark, sf):
-    return _html(spark, sf, stream="visl").blocks
+    return _html(spark, sf, stream="visl").blocks.select(*_BLOCK_COLUMNS)
 
 
-@_query()
+@_query(_PAGE_BLOCK_ROWS)
 def html_blocks_apertium(spark, sf):
-    return _html(spark, sf).blocks
+    return _html(spark, sf).blocks.select(*_BLOCK_COLUMNS)
 
 
-@_query("SELECT page_id, (len(regexp_extract_all(html, '<(?:h1|title|li|td|th|p)[ >]')))::BIGINT > 0 AS some FROM pages")
-def html_pages_with_blocks(spark, sf):
-    found = _html(spark, sf, stream="visl").blocks.groupBy("page_id").agg(F.count("*").alias("n"))
-    return _pages(spark, sf).select("page_id").join(found, "page_id", "left").select("page_id", (F.coalesce("n", F.lit(0)) > 0).alias("some"))
-
-
-@_query()
+@_query(f"SELECT page_id, count(*) AS n_blocks, sum(length(body))::BIGINT AS n_chars FROM ({_PAGE_BLOCKS}) GROUP BY page_id")
 def html_blocks_per_page(spark, sf):
     return _html(spark, sf, stream="visl").blocks.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("body")).cast("long").alias("n_chars"))
 
@@ -389,13 +394,22 @@ def header_marks(spark, sf):
     return _html(spark, sf, stream="visl", mark_headers=True).blocks.filter("is_header").select("page_id", "body")
 
 
-@_query()
+@_query(f"""SELECT 'U' AS tag, {short_hash_sql(f"otag || '{HASH_SEP}'")} AS hash, otag, '' AS ctag, '' AS flags, pages FROM (
+SELECT otag, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, {_q(formats.RAW_BODIES)}, 1)) AS otag FROM pages) GROUP BY otag)""")
 def style_dictionary(spark, sf):
     """Styles of all pages, each with the number of pages that use it."""
     return _html(spark, sf, stream="visl").styles.groupBy("tag", "hash", "otag", "ctag", "flags").agg(F.count("*").alias("pages"))
 
 
-@_query()
+_closed_sql = lambda x: f"regexp_replace({x}, '<br>(<p>|</article>|</body>|$)', '<br></b></p>\\1', 'g')"
+_letters_sql = lambda x: _replace_sql(x, ("'&quot;'", "'\"'"), ("'&copy;'", "'©'"), ("'&middot;'", "'·'"))
+_UTF8_SQL = "regexp_replace(html, '(charset=\")utf-8\"', '\\1UTF-8\"')"
+
+
+@_query(f"""SELECT page_id, CASE WHEN whole THEN 'html' ELSE 'html-fragment' END AS format, CASE WHEN whole
+THEN replace({_letters_sql(_closed_sql(_UTF8_SQL))}, '<!DOCTYPE html>', '<!DOCTYPE html>' || chr(10)) || chr(10)
+ELSE regexp_replace(regexp_replace({_letters_sql(_closed_sql('html'))}, '<!DOCTYPE html><html[^>]*><head>', ''), '</?(?:html|head|body)(?: [^>]*)?>', '', 'g') END AS text
+FROM (SELECT *, contains(lower(html), '</html>') AS whole FROM pages)""")
 def html_clean(spark, sf):
     return engine.clean(_pages(spark, sf), Settings(stream="visl"), "page_id", "html").select("page_id", "format", "text")
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.markers import BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, rewrite_text, shielded, unshielded
 from ..operators import detect, formats, office
 from ..operators.spans import expand_text, normalise_text
+from ..sources.tables import small_batches
 from ..operators.tree import Found, TagClasses, escape, finish, keep_regions, parse, restore_spaces
 
 
@@ -142,7 +143,7 @@ def _prepared(docs: DataFrame, s: Settings, id_col: str, content: str, name: str
 
 def _map(df: DataFrame, one: Callable[..., tuple], out: list, ddl: str, id_col: str) -> DataFrame:
     """Rows to rows, one Arrow batch at a time; the first column is the id and stays."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    small_batches(df.sparkSession)
     id_type = df.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

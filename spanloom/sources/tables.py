@@ -14,6 +14,15 @@ INFO_DDL = "doc_id long, key string, value string"
 STYLES_DDL = "doc_id long, tag string, hash string, otag string, ctag string, flags string"
 
 
+#: What an Arrow batch on its way to Python holds at most: rows, and bytes, as texts can be long.
+BATCH_ROWS, BATCH_BYTES = "500", "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
