@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows an Arrow batch holds at most on its way to Python; texts can be long.
-ARROW_ROWS = 500
+from spanloom.sources.tables import small_batches
+
 #: Bytes of text that one vectorised step handles at a time.
 STEP_BYTES = 1 << 21
 
@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, and this package on the Python workers' path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
