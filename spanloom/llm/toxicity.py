@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -64,11 +65,12 @@ _WIDE = re.compile(r"(?:[^\s.\-_~*/\\,][.\-_~*/\\,]+){2,}[^\s.\-_~*/\\,]")
 _RUN = re.compile(r"(.)\1+")
 _LONG = re.compile(r"(.)\1{3,}")
 _EDGE = ".,;:?!\"'()[]{}<>|&%*#$+-_/\\~“”‘’…"
+_PLAIN = ".,;:?!\"'"
 _LEAD = "".join(c for c in _EDGE if c not in "$+(")
 
 
 _EDGE_CODES = np.array([ord("^"), ord("$")], np.uint64)
-_TIMES, _TOTAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(0x110000, bool)
 
 
@@ -86,23 +88,25 @@ class CharacterModel:
         self.table, self.memo = table, {}
         self.shift = 64 - (len(table).bit_length() - 1)
 
-    def place(self, codes: list[int], total: bool) -> int:
-        """Where an n-gram, or the total of a history, is counted; as count_grams has it."""
+    def place(self, codes: list[int]) -> int:
+        """Where an n-gram (its length, its code points) is counted; as count_grams has it."""
         v = 0
-        for c in codes:
+        for c in (len(codes), *codes):
             v = v * int(_TIMES) + c & (1 << 64) - 1
-        h = v ^ int(_TOTAL) if total else v
-        return int(mix64(np.array([h], np.uint64))[0]) >> self.shift
+        return int(mix64(np.array([v], np.uint64))[0]) >> self.shift
 
     def cost(self, history: str, letter: str) -> float:
-        """-log P(letter | history); histories start with ``^``, words end with ``$``."""
+        """-log P(letter | history); histories start with ``^``, words end with ``$``.
+
+        What follows a history is as often as the history itself is there.
+        """
         key = history + letter
         if (c := self.memo.get(key)) is None:
             p, codes = 1 / 64, [*map(ord, key)]
             for k in range(min(len(history), ORDER - 1) + 1):
                 own = codes[len(history) - k :]
-                total = float(self.table[self.place([k, *own[:-1]], True)])
-                p = (min(float(self.table[self.place([k, *own], False)]), total) + 2 * p) / (total + 2)
+                total = float(self.table[self.place(own[:-1])])
+                p = (min(float(self.table[self.place(own)]), total) + 2 * p) / (total + 2)
             if len(self.memo) > 200_000:
                 self.memo.clear()
             c = self.memo[key] = -math.log(p)
@@ -133,13 +137,26 @@ def count_grams(words: dict[str, int], table: np.ndarray) -> None:
     shift = np.uint64(64 - (len(table).bit_length() - 1))
     first = np.concatenate(([True], own[1:] != own[:-1]))
     place = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-    for k in range(ORDER):
-        i = np.flatnonzero(place >= max(k, 1))
-        v = np.full(len(i), k, np.uint64)
-        for d in range(k, 0, -1):
-            v = v * _TIMES + value[i - d]
-        for h in (v ^ _TOTAL, v * _TIMES + value[i]):
-            table += np.bincount((mix64(h) >> shift).astype(np.int64), weight[i], len(table))
+    table[_place(np.zeros(1, np.uint64), shift)] += weight[~first].sum()  # the empty history
+    v = value
+    for n in range(1, ORDER + 1):
+        # v: the last n - 1 values behind each place, and its own; ``^`` alone is a history only
+        at = place >= n - 1
+        table += np.bincount(_place(_head(n) + v[at], shift), weight[at], len(table))
+        if n < ORDER:
+            v = value + np.concatenate((np.zeros(1, np.uint64), v[:-1])) * _TIMES
+
+
+def _head(n: int) -> np.uint64:
+    """What an n-gram's length adds to its hash."""
+    v = n
+    for _ in range(n):
+        v = v * int(_TIMES) & (1 << 64) - 1
+    return np.uint64(v)
+
+
+def _place(h: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return (mix64(h) >> shift).astype(np.int64)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -214,6 +231,9 @@ def decode_run(run: str, model: CharacterModel) -> list[tuple[str, str]]:
 
 def disguised(token: str) -> str | None:
     """The part of a lower-case token to decode, if it looks disguised; of a long run of one sign three are kept."""
+    plain = token.strip(_PLAIN)
+    if plain.isalpha() and not _TRIPLE.search(plain):
+        return None
     if "://" in token or ("@" in token and "." in token.rpartition("@")[2]):
         return None
     full, token = token, _LONG.sub(r"\1\1\1", token)
@@ -251,14 +271,14 @@ def words_of(token: str, model: CharacterModel | None) -> list[str]:
 
 def spaced(tokens: list[str]) -> list[str]:
     """Runs of single characters, which may spell words, as one token each."""
-    out, run = [], []
-    for t in [*tokens, ""]:
-        if len(t) == 1:
-            run.append(t)
-        else:
+    out, run, last = [], [], -2
+    for k in [*(k for k, t in enumerate(tokens) if len(t) == 1), -2]:
+        if k != last + 1:
             if len(run) >= 3:
                 out.append("".join(run).lower())
             run = []
+        run.append(tokens[k] if k >= 0 else "")
+        last = k
     return out
 
 
@@ -273,25 +293,34 @@ class Detector:
         self.lexicon, self.totals, self.model = lexicon, totals, model
         self.weights, self.bias = np.zeros(3), -30.0
         self.constant: float | None = None
+        found = {u: bound(tp, fp, *totals) for u, (tp, fp) in lexicon.items()}
+        self.whole = {u[1:]: b for u, b in found.items() if u[0] == "="}
+        self.begins = {u[1:]: b for u, b in found.items() if u[0] == "^"}
+        self.heads = {u[: PREFIXES[0]] for u in self.begins}
 
     def word(self, word: str, own: int | None = None) -> float:
         """The largest bound among a word's units; ``own``: leave out one document of this label."""
+        if own is None:
+            best = max(0.0, self.whole.get(word, 0.0))
+            if word[: PREFIXES[0]] in self.heads:
+                best = max(best, *(self.begins.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n))
+            return best
         best = 0.0
         for u in units(word):
             if u in self.lexicon:
                 tp, fp = self.lexicon[u]
                 toxic, clean = self.totals
-                if own is not None:
-                    tp, fp, toxic, clean = (tp - 1, fp, toxic - 1, clean) if own else (tp, fp - 1, toxic, clean - 1)
+                tp, fp, toxic, clean = (tp - 1, fp, toxic - 1, clean) if own else (tp, fp - 1, toxic, clean - 1)
                 best = max(best, bound(max(tp, 0), max(fp, 0), toxic, clean))
         return best
 
     def features(self, text: str, memo: _Memo) -> np.ndarray:
         tokens = text.split()
-        found = {t: s for t, s in zip(tokens, map(memo.__getitem__, tokens), strict=True) if s}
-        hits = [s for s in found.values() if s > 0]
-        for t in spaced(tokens) if memo.singles(found) else ():
-            hits += memo.run(t)
+        found = [*map(memo.__getitem__, set(tokens))]
+        hits = [s for s in found if s > 0]
+        if min(found, default=0.0) < 0:  # there is a single character
+            for t in spaced(tokens):
+                hits += memo.run(t)
         hits.sort(reverse=True)
         return np.array([hits[0] if hits else 0.0, hits[1] if len(hits) > 1 else 0.0, math.log1p(sum(s > 1 for s in hits))])
 
@@ -319,7 +348,14 @@ class _Memo(dict):
         self.runs: dict[str, list[float]] = {}
 
     def __missing__(self, token: str) -> float:
-        s = -1.0 if len(token) == 1 else max((self.detector.word(w, self.own) for w in words_of(token, self.detector.model)), default=0.0)
+        low = token.lower()
+        plain = low.strip(_PLAIN)
+        if len(token) == 1:
+            s = -1.0
+        elif plain.isalpha() and not _TRIPLE.search(plain):
+            s = self.detector.word(plain, self.own)
+        else:
+            s = max((self.detector.word(w, self.own) for w in words_of(token, self.detector.model)), default=0.0)
         if len(self) > 300_000:
             self.clear()
         self[token] = s
@@ -338,11 +374,6 @@ class _Memo(dict):
             self.runs[t] = out
         return out
 
-    @staticmethod
-    def singles(found: dict[str, float]) -> bool:
-        """Whether there is a single character at all."""
-        return any(s < 0 for s in found.values())
-
 
 _UNIT = pa.schema([("u", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
 
@@ -366,11 +397,12 @@ _TABLE_DDL = "part int, value binary"
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table, words = np.zeros(1 << GRAM_BITS), Counter()
     for b in batches:
-        for text in b.column(0).to_pylist():
-            words.update((text or "").lower().split())
-            if len(words) > 200_000:
-                count_grams(words, table)
-                words.clear()
+        found = pc.value_counts(pc.list_flatten(pc.utf8_split_whitespace(b.column(0))))
+        for w, n in zip(pc.utf8_lower(found.field(0)).to_pylist(), found.field(1).to_pylist(), strict=True):
+            words[w] += n
+        if len(words) > 400_000:
+            count_grams(words, table)
+            words.clear()
     count_grams(words, table)
     cut = len(table) // PARTS
     yield to_batch(_TABLE, [list(range(PARTS)), [table[p * cut : (p + 1) * cut].tobytes() for p in range(PARTS)]])

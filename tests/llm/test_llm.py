@@ -394,9 +394,10 @@ def test_character_counts_against_slow_path(spark, documents):
                     counts[s[i - k : i], s[i]] += n
                     counts[s[i - k : i], None] += n
     for (h, x), n in counts.items():
-        codes = [len(h), *map(ord, h)] + ([] if x is None else [ord(x)])
-        assert model.table[model.place(codes, x is None)] >= n
-    assert model.table.sum() == sum(counts.values())
+        codes = [*map(ord, h)] + ([] if x is None else [ord(x)])
+        assert model.table[model.place(codes)] >= n
+    # each n-gram and, as histories only, the empty one and the beginning of a word
+    assert model.table.sum() == sum(n for (_, x), n in counts.items() if x is not None) + counts["", None] + counts["^", None]
     whole = toxicity.character_model(spark.createDataFrame(documents, "doc_id long, text string").repartition(3)).table
     table = np.zeros(1 << toxicity.GRAM_BITS)
     toxicity.count_grams(Counter(w for _, t in documents for w in (t or "").lower().split()), table)
