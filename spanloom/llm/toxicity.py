@@ -26,7 +26,7 @@ most a sixth of the units of SAMPLE documents. Scores use whole texts of any len
 Defined results: a null or empty text has no word and gets the score that this
 implies. Repeated rows and ids are each scored; contradicting labels count as
 0, labels without a document and null labels are ignored. With labels of one
-kind the score is their share, with none 0. Extra columns are ignored (``clean`` keeps
+kind the score is their share, with none 0; ``clean`` then rejects none. Extra columns are ignored (``clean`` keeps
 them); an empty table returns no rows.
 """
 
@@ -481,7 +481,9 @@ def toxicity(docs: DataFrame, detector: Detector, held: Column) -> DataFrame:
 
 
 def clean(docs: DataFrame, detector: Detector, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, whole, whose text scores below ``threshold``."""
+    """The rows of ``docs``, whole, whose text scores below ``threshold``; all, if there were no labels of both kinds to learn from."""
+    if detector.constant is not None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(detector)  # of bounded size, see fit
     at = docs.columns.index("text")
 
