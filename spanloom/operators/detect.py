@@ -68,10 +68,19 @@ def guess(data: bytes) -> tuple[str, str]:
         if languages is None:
             score = _side_by_side(text)
         else:
-            # capitals speak less for a language than small letters, and not at all behind a small one
-            letters = [(c, 1.0) if not c.isupper() else (c.lower(), 0.0 if i and text[i - 1].islower() else 0.6) for i, c in enumerate(text) if ord(c) > 127 and c.isalpha()]
+            # capitals speak less for a language than small letters, and not at all behind a small one; nor does a letter
+            # of another alphabet beside an ASCII one
+            other = languages[0][0] > "\u024f"
+            letters = []
+            for i, c in enumerate(text):
+                if ord(c) > 127 and c.isalpha():
+                    mixed = other and any(x.isascii() and x.isalpha() for x in text[max(0, i - 1) : i] + text[i + 1 : i + 2])
+                    odd_case = c.isupper() and i and text[i - 1].islower()
+                    letters.append((c.lower(), 0.0 if mixed or odd_case else 0.6 if c.isupper() else 1.0))
             odd = sum(ord(c) > 127 and not c.isalpha() and unicodedata.category(c)[0] not in "PZS" for c in text)
-            score = max(sum(w for c, w in letters if c in own) / (len(letters) + odd) for own in languages) if letters else 0.0
+            # texts in several western languages fit none of them wholly
+            sets = [(own, 1.0) for own in languages] + ([("".join(languages), 0.75)] if name == "windows-1252" else [])
+            score = max(part * sum(w for c, w in letters if c in own) / (len(letters) + odd) for own, part in sets) if letters else 0.0
         if score > best[0] + 1e-9:
             best = (score, name, text)
     return best[1], best[2]
