@@ -18,6 +18,7 @@ SENTINEL = "\ue019"
 PROT_B, PROT_E = "\ue020", "\ue021"
 RAW_B, RAW_E = "\ue022", "\ue023"
 NAME_B, NAME_E = "\ue02c", "\ue02d"
+LOOSE = "\ue02e"  # an ampersand of a page that begins no reference
 HEADER_END = "\u2761"
 SMALL_LT, SMALL_GT = "\ufe64", "\ufe65"
 
@@ -28,7 +29,7 @@ CONTENT = r"[\p{L}\p{N}\p{M}\p{Pc}]"
 
 #: The characters above mean structure only to this engine. In a document's own text each stands, from reading to
 #: writing, as a character of another private plane.
-_OWN = "".join((HASH_SEP, OPEN_B, OPEN_E, CLOSE, CHARSET, BLOCK_B, BLOCK_M, BLOCK_N, BLOCK_E, SENTINEL, PROT_B, PROT_E, RAW_B, RAW_E, NAME_B, NAME_E))
+_OWN = "".join((HASH_SEP, OPEN_B, OPEN_E, CLOSE, CHARSET, BLOCK_B, BLOCK_M, BLOCK_N, BLOCK_E, SENTINEL, PROT_B, PROT_E, RAW_B, RAW_E, NAME_B, NAME_E, LOOSE))
 _AWAY = {ord(c): chr(0xF0000 + ord(c) - 0xE000) for c in _OWN}
 _HOME = {ord(v): chr(k) for k, v in _AWAY.items()}
 _ANY_OWN, _ANY_AWAY = re.compile(f"[{_OWN}]"), re.compile(f"[{''.join(_AWAY.values())}]")

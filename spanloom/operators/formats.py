@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import style_hash
-from ..functions.markers import CHARSET, RAW_B, RAW_E, Rules, rewrite, rewrite_text
+from ..functions.markers import CHARSET, LOOSE, RAW_B, RAW_E, Rules, rewrite, rewrite_text
 from ..functions.text import lower_ascii
 from .spans import Styles, restore_raw
 from .tree import Found, Node, TagClasses, escape, parse, save_spaces, serialise, tag_spans
@@ -142,13 +142,13 @@ _BODY = re.compile(r"<body[^>]*>(.*)</body>", re.S | re.I)
 
 
 def html_out(root: Node, original_doctype: bool, styles: Styles) -> str:
-    out = serialise(root, html=True).replace(CHARSET, "UTF-8")
+    out = serialise(root, html=True).replace(CHARSET, "UTF-8").replace(LOOSE, "&")
     return restore_raw(("<!DOCTYPE html>\n" if original_doctype else "") + out.strip() + "\n", styles)
 
 
 def fragment_out(root: Node, styles: Styles) -> str:
     """What stands within the body."""
-    out = serialise(root, html=True).replace(CHARSET, "UTF-8")
+    out = serialise(root, html=True).replace(CHARSET, "UTF-8").replace(LOOSE, "&")
     m = _BODY.search(out)
     return restore_raw(m[1] if m else out, styles)
 
