@@ -21,7 +21,7 @@ from .functions.markers import BLANK, CLOSE, CONTENT, HASH_SEP, NAME_B, NAME_E,
 from .operators import detect, formats, office, spans
 from .plans import engine
 from .plans.engine import Settings
-from .sources.tables import INFO_DDL, read_files, read_table, scratch, upsert, value_of, write_lines
+from .sources.tables import INFO_DDL, read_files, read_table, scratch, small_batches, upsert, value_of, write_lines
 from .streaming import codec
 
 # ---- lines as elements ----------------------------------------------------------------------
@@ -378,6 +378,7 @@ def state_reload(spark, sf):
 @_query(f"SELECT part AS line, count(*) AS n FROM ({_LINES}) GROUP BY part")
 def lines_through_files(spark, sf):
     """Lines written as text files, and read back as whole files."""
+    small_batches(spark)
     path = scratch(spark, "lines")
     write_lines(_docs(spark, sf).select(F.explode(F.split("text", "\n", -1)).alias("line")), "line", path)
     text = F.expr("substring(text, 1, length(text) - 1)")  # without the last line end

@@ -57,8 +57,8 @@ def merged_styles(styles: DataFrame, keys: tuple[str, ...] = ("doc_id", "tag", "
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:
-    """A column as text files."""
-    df.select(column).write.mode("overwrite").text(path)
+    """A column as text files of at most FILE_LINES lines."""
+    df.select(column).write.mode("overwrite").option("maxRecordsPerFile", FILE_LINES).text(path)
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -66,6 +66,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
+#: Lines of a text file: who reads whole files holds one file at a time, and no file grows with the table.
+FILE_LINES = 4000
+
+
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
