@@ -17,7 +17,7 @@ from .operators import detect, formats, office, spans
 from .operators.tree import escape
 from .plans import engine
 from .plans.engine import Settings
-from .sources.tables import merged_styles, read_files, read_table, scratch, upsert, value_of, write_lines
+from .sources.tables import dealt, merged_styles, read_files, read_table, scratch, small_batches, upsert, value_of, write_lines
 from .streaming import codec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,14 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _dealt_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(_docs(spark, sf), "doc_id", "text")
+
+
+def _dealt_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(_pages(spark, sf), "page_id", "html")
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -194,9 +202,10 @@ _FIVE = (("'&'", "'&amp;'"), ("'\"'", "'&quot;'"), ("''''", "'&apos;'"), ("'<'",
 _LINE_REFS = (("chr(9)", "'&#9;'"), ("chr(10)", "'&#10;'"), ("chr(13)", "'&#13;'"))
 
 
-def _scalar(name: str, fn: Callable[[Column], Column], sql: str, given: Callable[[Column], Column] = lambda c: c, given_sql: str = "text") -> None:
+def _scalar(name: str, fn: Callable[[Column], Column], sql: str, given: Callable[[Column], Column] = lambda c: c, given_sql: str = "text", heavy: bool = False) -> None:
     def query(spark, sf):
-        return _docs(spark, sf).select("doc_id", fn(given(F.col("text"))).alias("value"))
+        docs = _dealt_docs if heavy else _docs
+        return docs(spark, sf).select("doc_id", fn(given(F.col("text"))).alias("value"))
 
     query.__name__ = name
     _query(f"SELECT doc_id, {sql} AS value FROM (SELECT doc_id, {given_sql} AS x FROM documents)")(query)
@@ -249,7 +258,7 @@ _span("span_alpha_suffix", _CUT, spans.ALPHA_SUFFIX, _SUFFIX_EATING)
 _scalar("span_space_out", lambda c: rewrite(c, spans.SPACE_OUT), rewrite_sql("x", _SPACED_ONCE), lambda c: rewrite(c, _SPACED))
 _scalar("protected_merge", lambda c: rewrite(c, spans.PROTECTED_MERGE), rewrite_sql("x", _REGIONS_ONCE), lambda c: rewrite(c, _REGIONS))
 _ROUND = [*_MERGE_AA, *spans.NESTED, *_PREFIX_EATING, *_SUFFIX_EATING, *spans.SPACE_OUT, *_MERGE_AA]
-_scalar("span_round", spans.one_round, rewrite_sql("x", _ROUND), lambda c: rewrite(c, _CUT), rewrite_sql("text", _CUT))
+_scalar("span_round", spans.one_round, rewrite_sql("x", _ROUND), lambda c: rewrite(c, _CUT), rewrite_sql("text", _CUT), heavy=True)
 
 
 _DEEP = [("([a-z]+) ([a-z]+) ", f"{OPEN_B}b:AA{OPEN_E}{OPEN_B}i:BB{OPEN_E}{OPEN_B}u:CC{OPEN_E}$1{CLOSE}{CLOSE}{CLOSE} {OPEN_B}b:AA{OPEN_E}{OPEN_B}i:BB;u:CC{OPEN_E}$2 {CLOSE}{CLOSE}")]
@@ -259,7 +268,8 @@ _DEEP = [("([a-z]+) ([a-z]+) ", f"{OPEN_B}b:AA{OPEN_E}{OPEN_B}i:BB{OPEN_E}{OPEN_
 def span_fixpoint(spark, sf):
     """Spans three deep, cut by blanks: rounds until nothing changes; what is no small ASCII letter is a point."""
     x = F.translate("text", "àâäáéèêëíîïìóôöòúûüùñçßœæÀÂÄÁÉÈÊËÍÎÏÌÓÔÖÒÚÛÜÙÑÇABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:!?-", "." * 99)
-    return _docs(spark, sf).select("doc_id", spans.normalise(rewrite(x, _DEEP)).alias("value"))
+    small_batches(spark)
+    return _dealt_docs(spark, sf).select("doc_id", spans.normalise(rewrite(x, _DEEP)).alias("value"))
 
 
 @_query(f"""SELECT c_custkey, tag, hash, coalesce(otag, '') AS otag, coalesce(ctag, '') AS ctag, coalesce(flags, '') AS flags, coalesce(otag, '') || (CASE WHEN flags = 'P' THEN '' ELSE c_name END) || coalesce(ctag, '') AS expanded
@@ -360,7 +370,7 @@ def info_upsert(spark, sf):
 
 
 def _html(spark: SparkSession, sf: str, **settings) -> engine.State:
-    return engine.extract(_pages(spark, sf), Settings(format="html", **settings), "page_id", "html")
+    return engine.extract(_dealt_pages(spark, sf), Settings(format="html", **settings), "page_id", "html")
 
 
 #: The raw pages' texts stand between a start tag and an end tag of their own, or before an unclosed break.
@@ -411,7 +421,7 @@ THEN replace({_letters_sql(_closed_sql(_UTF8_SQL))}, '<!DOCTYPE html>', '<!DOCTY
 ELSE regexp_replace(regexp_replace({_letters_sql(_closed_sql('html'))}, '<!DOCTYPE html><html[^>]*><head>', ''), '</?(?:html|head|body)(?: [^>]*)?>', '', 'g') END AS text
 FROM (SELECT *, contains(lower(html), '</html>') AS whole FROM pages)""")
 def html_clean(spark, sf):
-    return engine.clean(_pages(spark, sf), Settings(stream="visl"), "page_id", "html").select("page_id", "format", "text")
+    return engine.clean(_dealt_pages(spark, sf), Settings(stream="visl"), "page_id", "html").select("page_id", "format", "text")
 
 
 @_query(f"SELECT doc_id, {rewrite_sql('text', [('­', '')])} AS text FROM documents")
@@ -436,7 +446,7 @@ def _injected_sql(change: str) -> str:
 
 def _line_state(spark: SparkSession, sf: str) -> engine.State:
     """Saved, so that blocks and documents come of one extraction."""
-    return engine.extract(_docs(spark, sf), Settings(format="line", stream="visl")).save(scratch(spark, "state"))
+    return engine.extract(_dealt_docs(spark, sf), Settings(format="line", stream="visl")).save(scratch(spark, "state"))
 
 
 def _shouted(state: engine.State) -> DataFrame:
@@ -503,7 +513,7 @@ _PLAIN_LINES = _numbered(_LINES, CONTENT).replace(rewrite_sql("part", formats.SO
 
 def _office(fmt: str) -> None:
     def query(spark, sf):
-        return engine.extract(_packed(_docs(spark, sf), fmt), Settings(stream="visl"), content="content").blocks.select("doc_id", "block_no", "body")
+        return engine.extract(_packed(_dealt_docs(spark, sf), fmt), Settings(stream="visl"), content="content").blocks.select("doc_id", "block_no", "body")
 
     query.__name__ = f"{fmt}_blocks"
     _query(_PLAIN_LINES)(query)
@@ -516,7 +526,7 @@ for _fmt in ("docx", "pptx", "odt"):
 @_query(_PLAIN_LINES)
 def tei_blocks(spark, sf):
     body = F.concat(F.lit("<TEI><text><p>"), F.replace(tx.xml_escape(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></text></TEI>"))
-    return engine.extract(_docs(spark, sf).select("doc_id", body.alias("text")), Settings(stream="visl")).blocks.select("doc_id", "block_no", "body")
+    return engine.extract(_dealt_docs(spark, sf).select("doc_id", body.alias("text")), Settings(stream="visl")).blocks.select("doc_id", "block_no", "body")
 
 
 _ODT_STYLES_SQL = """SELECT doc_id, place::INT AS place, 's' || place AS style, 's' || min(place) OVER (PARTITION BY doc_id, part) AS kept
@@ -527,7 +537,7 @@ FROM (SELECT doc_id, unnest(range(len(p))) AS place, unnest(p) AS part FROM (SEL
 def odt_style_dedup(spark, sf):
     """Each word of a document as a style: equal words are one style."""
     words = F.transform(F.split("text", " ", -1), lambda w, k: F.concat(F.lit('<style:style style:name="s'), k.cast("string"), F.lit('" v="'), tx.xml_escape(w), F.lit('"></style:style>')))
-    return formats.odt_styles(_docs(spark, sf).select("doc_id", F.array_join(words, "").alias("xml")), "doc_id", F.col("xml"))
+    return formats.odt_styles(_dealt_docs(spark, sf).select("doc_id", F.array_join(words, "").alias("xml")), "doc_id", F.col("xml"))
 
 
 @_query(f"SELECT doc_id, {rewrite_sql('text', [('([a-z]) ', '$1<lb/>')])} AS text FROM documents")

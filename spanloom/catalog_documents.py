@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _BODY_SQL, _FIVE, _IDS_SQL, _LINES, _SHOUT, _docs, _line_blocks, _q, _query, _replace_sql, _scalar, _with_ids, _blocks
+from .catalog import _BODY_SQL, _FIVE, _IDS_SQL, _LINES, _SHOUT, _dealt_docs, _docs, _line_blocks, _q, _query, _replace_sql, _scalar, _with_ids, _blocks
 from .functions import text as tx
 from .functions.hashing import short_hash_sql
 from .functions.markers import BLANK, CLOSE, CONTENT, HASH_SEP, NAME_B, NAME_E, OPEN_B, OPEN_E, PROT_B, PROT_E, rewrite, rewrite_sql
@@ -88,7 +88,7 @@ _KINDS = [
 
 def _html_docs(spark, sf) -> DataFrame:
     page = _c(_HTML_HEAD.format("latin1"), F.col("doc_id").cast("string"), _HTML_BODY, _elements(_KINDS), _HTML_TAIL)
-    return _docs(spark, sf).select("doc_id", page.alias("text"))
+    return _dealt_docs(spark, sf).select("doc_id", page.alias("text"))
 
 
 _HASHES = f"SELECT {_hash(_B, '</b>')} AS hb, {_hash(_I, '</i>')} AS hi, {_hash(_I_AFTER, '</i>')} AS ha, {_hash(_BR, '')} AS hbr, {_hash(_NOTE, '')} AS hn, {_hash(_SCRIPT, '')} AS hs"
@@ -174,7 +174,7 @@ _FRAGMENT = "WITH p AS ({}) SELECT doc_id, string_agg('<p>' || {} || '</p>', ''
 
 @_query(_FRAGMENT.format(_X, _TEXT("x")))
 def fragment_clean(spark, sf):
-    body = _docs(spark, sf).select("doc_id", _elements([lambda e, k: _c("<p>", e, "</p>")]).alias("text")).filter("text <> ''")
+    body = _dealt_docs(spark, sf).select("doc_id", _elements([lambda e, k: _c("<p>", e, "</p>")]).alias("text")).filter("text <> ''")
     return engine.clean(body, Settings(stream="visl")).select("doc_id", "text")
 
 
@@ -184,7 +184,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS bloc
 def tag_overrides(spark, sf):
     """An own inline tag, and texts of paragraphs alone: what stands right in a div or list is no block."""
     kinds = [lambda e, k: _c("<p>a <x>", e, "</x> b</p>"), lambda e, k: _c("<div>", e, "</div>")]
-    body = _docs(spark, sf).select("doc_id", _elements(kinds).alias("text")).filter("text <> ''")
+    body = _dealt_docs(spark, sf).select("doc_id", _elements(kinds).alias("text")).filter("text <> ''")
     settings = Settings(format="html-fragment", stream="visl", tags={"inline": ["+", "x"], "parents_direct": ["p"]})
     return engine.extract(body, settings).blocks.select("doc_id", "block_no", "body")
 
@@ -203,7 +203,7 @@ _LB = '<lb tf-added-before="1" tf-added-after="1" tf-space-before=" " tf-space-a
 
 
 def _tei_docs(spark, sf) -> DataFrame:
-    return _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", _c(_TEI_HEAD, _elements(_TEI_KINDS), _TEI_TAIL).alias("text"))
+    return _dealt_docs(spark, sf).filter("text IS NOT NULL").select("doc_id", _c(_TEI_HEAD, _elements(_TEI_KINDS), _TEI_TAIL).alias("text"))
 
 
 _LB_HASH = short_hash_sql(f"{_q(_LB)} || nth || '\"/>{HASH_SEP}'")
@@ -266,7 +266,7 @@ _PACKS = {
 def _packed_runs(spark, sf, fmt: str) -> DataFrame:
     """doc_id, content: documents as office files with runs."""
     member, head, tail, kinds = _PACKS[fmt]
-    docs = _docs(spark, sf).filter("text IS NOT NULL").select("doc_id", _c(head, _elements(kinds), tail).alias("xml"))
+    docs = _dealt_docs(spark, sf).filter("text IS NOT NULL").select("doc_id", _c(head, _elements(kinds), tail).alias("xml"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -371,7 +371,7 @@ def apertium_decode_spans(spark, sf):
 def state_reload(spark, sf):
     """An extraction that is kept is used again."""
     settings, path = Settings(format="line", stream="visl"), scratch(spark, "state")
-    engine.extract(_docs(spark, sf), settings).save(path)
+    engine.extract(_dealt_docs(spark, sf), settings).save(path)
     return engine.State.load(spark, path, settings).blocks.select("doc_id", "block_no", "block_id", "body")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import style_hash
 from ..functions.markers import CHARSET, LOOSE, RAW_B, RAW_E, Rules, rewrite, rewrite_text
 from ..functions.text import lower_ascii
-from .spans import Styles, restore_raw
+from .spans import OneOf, Styles, restore_raw
 from .tree import Found, Node, TagClasses, escape, parse, save_spaces, serialise, tag_spans
 
 
@@ -53,6 +53,29 @@ LB_RULES: Rules = [
     (f"({_WORDY})<lb/>", '$1 <lb tf-added-before="1"/>'),
     (f"<lb/>({_WORDY})", '<lb tf-added-after="1"/> $1'),
 ]
+_IS_WORDY = OneOf(_WORDY)
+
+
+def lb_apart(text: str) -> str:
+    """LB_RULES on one text, from each break: rules of one pass share no character."""
+    if "<lb/>" not in text:
+        return text
+    for before, after in ((True, True), (True, False), (False, True)):
+        by = f'{" " * before}<lb{' tf-added-before="1"' * before}{' tf-added-after="1"' * after}/>{" " * after}'
+        out, last, end = [], 0, len(text)
+        i = text.find("<lb/>")
+        while i >= 0:
+            j = i + 5
+            if (not before or i > last and _IS_WORDY[text[i - 1]]) and (not after or j < end and _IS_WORDY[text[j]]):
+                out += [text[last:i], by]
+                if after:
+                    out.append(text[j])
+                last = j = j + after
+            i = text.find("<lb/>", j)
+        text = "".join(out) + text[last:]
+    return text
+
+
 # Language, country and revision marks that split equal text.
 ODT_CHAFF: Rules = [(rf' {a}="[^"]+"', "") for a in ("fo:language", "style:language-complex", "style:language-asian", "fo:country", "style:country-complex", "style:country-asian", "officeooo:paragraph-rsid", "officeooo:rsid")] + [("<style:text-properties/>", "")]
 
@@ -92,6 +115,8 @@ def raw_bodies(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(RAW_BODIES), F.lit(1))
 
 
+#: What each match of SOFT_HYPHENS begins with; the long s is an s where case is ignored.
+_SOFT = ("\u00ad", "<w", "<W", "&s", "&S", "&\u017f", "&#")
 _RAW_BODY = re.compile(r"(<(script|style)\b[^>]*>)(.+?)(</\2\s*>)", re.I | re.S)
 _CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 
@@ -108,7 +133,10 @@ def styled_html(html: str, stream: str, classes: TagClasses, found: Found) -> st
         return f"{m[1]}{RAW_B}{h}{RAW_E}{m[4]}"
 
     html = _RAW_BODY.sub(raw, html)
-    html = rewrite_text(html, SOFT_HYPHENS + SUBSUP_BEFORE + SUBSUP_AFTER)
+    if any(x in html for x in _SOFT):
+        html = rewrite_text(html, SOFT_HYPHENS)
+    if "<su" in html:
+        html = rewrite_text(html, SUBSUP_BEFORE + SUBSUP_AFTER)
     html = _CDATA.sub(lambda m: escape(m[1]), html)
     return styled_tree(parse(html, html=True), classes, found)
 

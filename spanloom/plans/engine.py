@@ -87,7 +87,7 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
         fmt = "html-fragment"
     classes = s.classes(fmt)
     if fmt == "tei":
-        styled = formats.styled_tree(parse(rewrite_text(text, formats.LB_RULES)), classes, found)
+        styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found)
     else:
         styled = formats.styled_html(formats.text_as_html(text, fmt == "line") if fmt in ("text", "line") else text, s.stream, classes, found)
     finish(keep_regions(styled, s.stream, found), classes, found, s.extend, s.extract_more, s.mangle_xml)
@@ -136,7 +136,9 @@ def _prepared(docs: DataFrame, s: Settings, id_col: str, content: str, name: str
     col = F.col(content)
     zipped = detect.is_zip(col) if binary else F.lit(False)
     named = detect.by_name(F.col(name)) if name else F.lit(None).cast("string")
-    text = F.when(~zipped, detect.decoded(col)) if binary else col
+    if binary:  # Python guesses at all that it is given: no archives. A column of its own, as decoding reads it often
+        docs = docs.withColumn("_open", F.when(~zipped, col))
+    text = detect.decoded(F.col("_open")) if binary else col
     fmt: Column = F.lit(s.format) if s.format != "auto" else F.coalesce(named, F.when(zipped, "zip"), detect.by_text(text), F.lit("text"))
     return docs.select(F.col(id_col).alias("id"), fmt.alias("format"), text.alias("text"), (F.when(zipped, col) if binary else F.lit(None).cast("binary")).alias("content"))
 

@@ -27,6 +27,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt to all cores by a hash of ``by``: a file of one row group is one task, however many texts it holds.
+
+    For plans that do much with each row; the shuffle costs a small part of that.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (a hash of the path), name, content: whole files, of any store that Spark reads."""
     files = spark.read.format("binaryFile").load(path)
@@ -56,6 +66,10 @@ def merged_styles(styles: DataFrame, keys: tuple[str, ...] = ("doc_id", "tag", "
     return found.select(*keys, "x.*", "clashes")
 
 
+#: Lines of a text file: who reads whole files holds one file at a time, and no file grows with the table.
+FILE_LINES = 4000
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """A column as text files of at most FILE_LINES lines."""
     df.select(column).write.mode("overwrite").option("maxRecordsPerFile", FILE_LINES).text(path)
@@ -66,10 +80,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
-#: Lines of a text file: who reads whole files holds one file at a time, and no file grows with the table.
-FILE_LINES = 4000
-
-
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)

@@ -393,3 +393,71 @@ def test_guessed_encodings(spark, charset, want, text):
     assert detect.guess(text.encode(charset)) == (want, text)
     row = spark.createDataFrame([(bytearray(text.encode(charset)),)], "c binary").select(detect.encoding(F.col("c")).alias("e"), detect.decoded(F.col("c")).alias("t")).first()
     assert (row.e, row.t) == (want, text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Étion et en ench èanier, ierque vi èenaioi en èenque oieau éçaux. Ciónasasta ciónuellí íquega de el y. Se osdoado ciónqueue rataes ciieie íll asllue.",
+        "the and of English words that run on " * 40 + "Èanier trèai évielle íquega ñezdoñ ciónco ciónes",
+    ],
+)
+def test_guess_of_several_western_languages(text):
+    from spanloom.operators import detect
+
+    assert detect.guess(text.encode("latin-1")) == ("windows-1252", text)
+
+
+def test_hungarian_with_a_loan_word_is_not_western():
+    from spanloom.operators import detect
+
+    text = "Őrült hűség, fűtött szőlő: a quiz győztese új könyvet kért, és többször ünnepelt."
+    assert detect.guess(text.encode("cp1250"))[0] == "windows-1250"
+
+
+def test_page_keeps_ampersands_that_begin_no_reference():
+    page = "<!DOCTYPE html>\n<html><head><title>a&amp;&am</title></head><body><h1>b &copy; c&amp</h1><p>d & e &nosuch; &#38;</p></body></html>\n"
+    assert [b[1] for b in blocks(page, "html")] == ["a&&am", "b © c&amp", "d & e &nosuch; &"]
+    assert round_trip(page, "html") == page.replace("&copy;", "©").replace("&#38;", "&amp;")
+
+
+def test_span_rules_on_texts_agree_with_expressions():
+    import random
+
+    from spanloom.functions.markers import rewrite_text
+    from spanloom.operators.spans import _round, round_rules
+
+    r = random.Random(1)
+    parts = [f"{OPEN_B}b:A{OPEN_E}"] * 3 + [f"{OPEN_B}i:B{OPEN_E}", OPEN_B, OPEN_E] + [CLOSE] * 4 + list("aé1´\u0301  \n\u2028.^")
+    for n in range(5000):
+        text = "".join(r.choices(parts, k=r.randint(1, 14)))
+        assert _round(text, n % 2 == 0) == rewrite_text(text, round_rules(n % 2 == 0))
+
+
+def test_long_words_cost_no_more_than_their_length():
+    import time
+
+    began = time.perf_counter()
+    text = "a" * 100_000 + f". {OPEN_B}b:A{OPEN_E}x{CLOSE} " + " " * 100_000 + "."
+    assert normalise_text(text) == text
+    assert time.perf_counter() - began < 2
+
+
+def test_archives_are_not_guessed_at(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import detect
+
+    docs = spark.createDataFrame([(1, bytearray(b"PK\x03\x04\xff\xfe\xe9"))], "doc_id long, content binary")
+    plan = engine._prepared(docs, Settings(), "doc_id", "content", None)._jdf.queryExecution().optimizedPlan().toString()
+    whole = docs.select(detect.decoded(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
+    calls = lambda x: [p for p in x.split("_guessed(")[1:]]
+    assert calls(whole)
+    assert all("504B0304" in p.split("#")[0] + p[:400] for p in calls(plan))
+
+
+def test_lines_make_files_of_bounded_length(spark, tmp_path):
+    from spanloom.sources import tables
+
+    tables.write_lines(spark.range(tables.FILE_LINES * 2 + 1).selectExpr("cast(id AS string) AS line").coalesce(1), "line", f"{tmp_path}/lines")
+    assert sorted(len(x.read_text().split()) for x in (tmp_path / "lines").glob("part-*")) == [1, tables.FILE_LINES, tables.FILE_LINES]
