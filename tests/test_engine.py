@@ -444,16 +444,11 @@ def test_long_words_cost_no_more_than_their_length():
 
 
 def test_archives_are_not_guessed_at(spark):
-    from pyspark.sql import functions as F
-
-    from spanloom.operators import detect
-
+    """The guess is given a column without archives, not the content itself."""
     docs = spark.createDataFrame([(1, bytearray(b"PK\x03\x04\xff\xfe\xe9"))], "doc_id long, content binary")
-    plan = engine._prepared(docs, Settings(), "doc_id", "content", None)._jdf.queryExecution().optimizedPlan().toString()
-    whole = docs.select(detect.decoded(F.col("content")))._jdf.queryExecution().optimizedPlan().toString()
-    calls = lambda x: [p for p in x.split("_guessed(")[1:]]
-    assert calls(whole)
-    assert all("504B0304" in p.split("#")[0] + p[:400] for p in calls(plan))
+    plan = engine._prepared(docs, Settings(), "doc_id", "content", None)._jdf.queryExecution().analyzed().toString()
+    calls = [p.split("AS text#")[0] for p in plan.split("_guessed(")[1:]]
+    assert calls and all("_open#" in p[:400] for p in calls)
 
 
 def test_lines_make_files_of_bounded_length(spark, tmp_path):
