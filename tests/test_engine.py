@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import pytest
@@ -456,3 +457,13 @@ def test_lines_make_files_of_bounded_length(spark, tmp_path):
 
     tables.write_lines(spark.range(tables.FILE_LINES * 2 + 1).selectExpr("cast(id AS string) AS line").coalesce(1), "line", f"{tmp_path}/lines")
     assert sorted(len(x.read_text().split()) for x in (tmp_path / "lines").glob("part-*")) == [1, tables.FILE_LINES, tables.FILE_LINES]
+
+
+def test_rules_look_only_at_marks_that_may_apply(monkeypatch):
+    """A plain text between many spans costs no look at each of them."""
+    from spanloom.operators import spans
+
+    looked = []
+    monkeypatch.setattr(spans, "_LETTER_MARK", type("Looks", (dict,), {"__missing__": lambda self, c: looked.append(c) or c.isalpha()})())
+    text = f"{OPEN_B}b:A{OPEN_E}x{CLOSE} und " * 1000
+    assert spans._suffix_in(spans._prefix_in(text)) == text and not looked
