@@ -459,6 +459,51 @@ def test_lines_make_files_of_bounded_length(spark, tmp_path):
     assert sorted(len(x.read_text().split()) for x in (tmp_path / "lines").glob("part-*")) == [1, tables.FILE_LINES, tables.FILE_LINES]
 
 
+def test_blocks_of_markup_are_those_of_the_tree():
+    """Tag by tag, without a tree: the same blocks, places and skeleton, or none taken."""
+    import random
+
+    from spanloom.operators import formats, tree
+
+    r = random.Random(2)
+    classes = [formats.HTML_TAGS, formats.TEI_TAGS, formats.HTML_TAGS.overridden(formats.HTML_HEADERS), formats.HTML_TAGS.overridden({"parents_direct": ["p"]})]
+    opens = ["<p>", '<p title="a&quot;b">', '<h1 alt="x" title="&amp; y">', "<pre>", "<q:b>", '<i tf-protect="1">', "<br/>", '<img alt="z"/>', "<br>", "<P  x=1>", '<p x="1" x="2">', '<p x="1>2">', "<!-- c -->", "<?i?>"]
+    taken = 0
+    for n in range(4000):
+        parts, around = [], []
+        for _ in range(r.randint(1, 12)):
+            kind = r.random()
+            if kind < 0.4:
+                tag = r.choice(opens[:8] if n % 4 else opens)
+                parts.append(tag)
+                if not tag.endswith(("/>", "->", "?>")):
+                    around.append(re.match("<([^ >]+)", tag)[1])
+            elif kind < 0.6 and around:
+                parts.append(f"</{around.pop()}>")
+            else:
+                parts.append(r.choice(["a", " ", "é &amp; b", "&lt;x&gt;", "'q'", "-", "&#169;", *(["<", ">", "&", "</p>", "<![CDATA[z]]>"] if n % 4 == 0 else [])]))
+        markup = "".join(parts + [f"</{x}>" for x in reversed(around)])
+        args = (r.choice(classes), r.random() < 0.5, r.random() < 0.5)
+        want, got = tree.Found(), tree.Found()
+        tree.take_blocks(tree.parse(markup), args[0], want, *args[1:])
+        if tree.blocks_of_markup(markup, args[0], got, *args[1:]):
+            assert (got.skeleton, got.blocks) == (want.skeleton, want.blocks), markup
+            taken += 1
+        else:
+            assert (got.skeleton, got.blocks) == ("", [])
+    assert taken > 2000
+
+
+def test_tags_seen_before_read_the_same():
+    from spanloom.operators import tree
+
+    for html in (False, True):
+        for markup in ('<a X="1" x="2">t</A><a x="1>2" y>u</a><a x="1>', "<p a=b/>x<p a=b/>y<br><BR>z</p >", "<" * 50_000 + ">", "<script>a<b</script><script>c</script>"):
+            first = tree.serialise(tree.parse(markup, html), html)
+            assert tree.serialise(tree.parse(markup, html), html) == first
+            assert all(len(x) <= tree._SHORT for x in tree._SEEN[html])
+
+
 def test_rules_look_only_at_marks_that_may_apply(monkeypatch):
     """A plain text between many spans costs no look at each of them."""
     from spanloom.operators import spans
