@@ -331,7 +331,7 @@ for _fmt in _PACKS:
 @_query("SELECT doc_id, format FROM documents, (SELECT unnest(['docx', 'pptx', 'odt']) AS format) WHERE text IS NOT NULL")
 def zip_formats(spark, sf):
     """Formats found by the members of archives."""
-    found = [engine.extract(_packed_runs(spark, sf, fmt), Settings(stream="visl"), content="content").skeleton.select("doc_id", "format") for fmt in _PACKS]
+    found = [engine.found_formats(_packed_runs(spark, sf, fmt), Settings(stream="visl"), content="content") for fmt in _PACKS]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 

@@ -63,6 +63,17 @@ _RENDERED_ARROW = [("format", pa.string()), ("text", pa.string()), ("content", p
 ZIPPED = ("docx", "pptx", "odt", "odp")
 
 
+def _page_format(fmt: str, text: str) -> str:
+    return "html-fragment" if fmt == "html" and "</html>" not in text.lower() else fmt
+
+
+def format_one(fmt: str, text: str | None, content: bytes | None) -> str:
+    """The format that ``extract_one`` finds, without extraction: an archive's members are read, none is parsed."""
+    if fmt == "zip":
+        return office.zip_format(office.members(content or b""))
+    return fmt if text is None or fmt in ZIPPED else _page_format(fmt, shielded(text))
+
+
 def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings) -> tuple[str, Found]:
     """The format and what is found in one document."""
     found = Found()
@@ -83,8 +94,7 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
     if text is None:
         return fmt, found
     text = shielded(text)
-    if fmt == "html" and "</html>" not in text.lower():
-        fmt = "html-fragment"
+    fmt = _page_format(fmt, text)
     classes = s.classes(fmt)
     if fmt == "tei":
         styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found)
@@ -212,6 +222,12 @@ def extract(docs: DataFrame, settings: Settings | None = None, id_col: str = "do
     return State(_map(_prepared(docs, s, id_col, content, name), one, _EXTRACTED_ARROW, _EXTRACTED, id_col), s, id_col)
 
 
+def found_formats(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", content: str = "text", name: str | None = None) -> DataFrame:
+    """id, format: what ``extract`` would take each document for."""
+    prepared = _prepared(docs, settings or Settings(), id_col, content, name)
+    return _map(prepared, lambda *row: (format_one(*row),), [("format", pa.string())], "format string", id_col)
+
+
 def accepted(state: State, arrivals: DataFrame, seq: str) -> DataFrame:
     """Arrivals that an in-order reader takes: blocks of the document whose place lies beyond all taken before.
 

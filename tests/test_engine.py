@@ -512,3 +512,21 @@ def test_rules_look_only_at_marks_that_may_apply(monkeypatch):
     monkeypatch.setattr(spans, "_LETTER_MARK", type("Looks", (dict,), {"__missing__": lambda self, c: looked.append(c) or c.isalpha()})())
     text = f"{OPEN_B}b:A{OPEN_E}x{CLOSE} und " * 1000
     assert spans._suffix_in(spans._prefix_in(text)) == text and not looked
+
+
+def test_formats_are_found_without_extraction(spark, monkeypatch):
+    def packed(*names):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for n in names:
+                z.writestr(n, "<x>a</x>")
+        return data.getvalue()
+
+    broken = packed("content.xml").replace(b"<x>a</x>", b"<x>b</x>")
+    contents = [packed(office.DOCX_MAIN), packed("ppt/slides/slide1.xml"), packed("content.xml"), packed("other"), packed("content.xml")[:-9], broken, b"<p>a</p>", b"<html>a</html>", b"<TEI>a</TEI>", b"a", None]
+    docs = spark.createDataFrame([(k, c and bytearray(c)) for k, c in enumerate(contents)], "doc_id long, content binary")
+    want = {r.doc_id: r.format for r in engine.extract(docs, content="content").skeleton.collect()}
+    assert {r.doc_id: r.format for r in engine.found_formats(docs, content="content").collect()} == want
+    monkeypatch.setattr(engine, "finish", None)
+    assert [engine.format_one("zip", None, c) for c in contents[:6]] == ["docx", "pptx", "odt", "unknown", "unknown", "unknown"]
+    assert engine.format_one("html", "<p>", None) == "html-fragment" and engine.format_one("odp", None, contents[2]) == "odp"
