@@ -141,9 +141,9 @@ def styled_html(html: str, stream: str, classes: TagClasses, found: Found) -> st
     return styled_tree(parse(html, html=True), classes, found)
 
 
-def styled_tree(root: Node, classes: TagClasses, found: Found) -> str:
+def styled_tree(root: Node, classes: TagClasses, found: Found, pairs: bool = False) -> str:
     save_spaces(root, classes)
-    return tag_spans(root, classes, found)
+    return tag_spans(root, classes, found, pairs)
 
 
 _BREAKS = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -191,12 +191,12 @@ TEI_UNDO: Rules = [
     (' <lb tf-added-before="1" tf-added-after="1"/> ', "<lb/>"),
     (' <lb tf-added-before="1"/>', "<lb/>"),
     ('<lb tf-added-after="1"/> ', "<lb/>"),
-    (' tf-added-(?:before|after)="1"', ""),
+    (' tf-added-(?:before|after)="1"(?=[^<>]*>)', ""),  # of a tag, not of a text
 ]
 
 
 def tei_out(root: Node) -> str:
-    return '<?xml version="1.0" encoding="UTF-8"?>\n' + rewrite_text(serialise(root).strip(), TEI_UNDO) + "\n"
+    return '<?xml version="1.0" encoding="UTF-8"?>\n' + rewrite_text(serialise(root, pairs=True).strip(), TEI_UNDO) + "\n"
 
 
 def strip_soft_hyphens(column: Column) -> Column:

@@ -97,10 +97,10 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
     fmt = _page_format(fmt, text)
     classes = s.classes(fmt)
     if fmt == "tei":
-        styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found)
+        styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found, pairs=True)
     else:
         styled = formats.styled_html(formats.text_as_html(text, fmt == "line") if fmt in ("text", "line") else text, s.stream, classes, found)
-    finish(keep_regions(styled, s.stream, found), classes, found, s.extend, s.extract_more, s.mangle_xml)
+    finish(keep_regions(styled, s.stream, found), classes, found, s.extend, s.extract_more, s.mangle_xml, pairs=fmt == "tei")
     return fmt, found
 
 

@@ -530,3 +530,10 @@ def test_formats_are_found_without_extraction(spark, monkeypatch):
     monkeypatch.setattr(engine, "finish", None)
     assert [engine.format_one("zip", None, c) for c in contents[:6]] == ["docx", "pptx", "odt", "unknown", "unknown", "unknown"]
     assert engine.format_one("html", "<p>", None) == "html-fragment" and engine.format_one("odp", None, contents[2]) == "odp"
+
+
+def test_empty_tei_elements_come_back_as_written():
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<TEI><teiHeader><p></p><x/></teiHeader>'
+    for text in ("<text></text>", "<text/>", "<text><p>a<pb/> b <seg></seg>c</p><p></p><p/></text>", '<text><p>a tf-added-before="1" b<lb/>c</p></text>'):
+        whole = f"{head}{text}</TEI>\n"
+        assert round_trip(whole, "tei") == whole
