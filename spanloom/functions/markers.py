@@ -32,16 +32,21 @@ CONTENT = r"[\p{L}\p{N}\p{M}\p{Pc}]"
 _OWN = "".join((HASH_SEP, OPEN_B, OPEN_E, CLOSE, CHARSET, BLOCK_B, BLOCK_M, BLOCK_N, BLOCK_E, SENTINEL, PROT_B, PROT_E, RAW_B, RAW_E, NAME_B, NAME_E, LOOSE))
 _AWAY = {ord(c): chr(0xF0000 + ord(c) - 0xE000) for c in _OWN}
 _HOME = {ord(v): chr(k) for k, v in _AWAY.items()}
-_ANY_OWN, _ANY_AWAY = re.compile(f"[{_OWN}]"), re.compile(f"[{''.join(_AWAY.values())}]")
+_SHIELDS = tuple(_AWAY.values())
+
+
+def _any_of(characters: tuple[str, ...] | str, text: str) -> bool:
+    """A search for each character: faster than one for a class."""
+    return not text.isascii() and any([c in text for c in characters])
 
 
 def shielded(text: str) -> str:
     """A document's own characters in place of marker characters."""
-    return text.translate(_AWAY) if _ANY_OWN.search(text) else text
+    return text.translate(_AWAY) if _any_of(_OWN, text) else text
 
 
 def unshielded(text: str) -> str:
-    return text.translate(_HOME) if _ANY_AWAY.search(text) else text
+    return text.translate(_HOME) if _any_of(_SHIELDS, text) else text
 
 
 Rules = list[tuple[str, str]]

@@ -123,7 +123,17 @@ _CDATA = re.compile(r"<!\[CDATA\[(.*?)\]\]>", re.S)
 
 def styled_html(html: str, stream: str, classes: TagClasses, found: Found) -> str:
     """A page as styled string: rewrites, tree, spans."""
-    if "</html>" not in html.lower():
+    return styled_tree(parse(page_markup(html, found), html=True), classes, found)
+
+
+def is_cut(html: str) -> bool:
+    """Whether a page has no end of html."""
+    return "</html>" not in html and "</html>" not in html.lower()
+
+
+def page_markup(html: str, found: Found) -> str:
+    """A page after the rewrites that come before its tree."""
+    if is_cut(html):
         html = _FRAGMENT_HEAD + html + _FRAGMENT_TAIL
     html = rewrite_text(html, CHARSET_RULES)
 
@@ -137,8 +147,7 @@ def styled_html(html: str, stream: str, classes: TagClasses, found: Found) -> st
         html = rewrite_text(html, SOFT_HYPHENS)
     if "<su" in html:
         html = rewrite_text(html, SUBSUP_BEFORE + SUBSUP_AFTER)
-    html = _CDATA.sub(lambda m: escape(m[1]), html)
-    return styled_tree(parse(html, html=True), classes, found)
+    return _CDATA.sub(lambda m: escape(m[1]), html)
 
 
 def styled_tree(root: Node, classes: TagClasses, found: Found, pairs: bool = False) -> str:

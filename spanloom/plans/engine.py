@@ -22,7 +22,7 @@ from ..functions.markers import BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, rewrite_text
 from ..operators import detect, formats, office
 from ..operators.spans import expand_text, normalise_text
 from ..sources.tables import small_batches
-from ..operators.tree import Found, TagClasses, escape, finish, keep_regions, parse, restore_spaces
+from ..operators.tree import Found, Node, TagClasses, changing, escape, finish, keep_regions, parse, restore_spaces
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ ZIPPED = ("docx", "pptx", "odt", "odp")
 
 
 def _page_format(fmt: str, text: str) -> str:
-    return "html-fragment" if fmt == "html" and "</html>" not in text.lower() else fmt
+    return "html-fragment" if fmt == "html" and formats.is_cut(text) else fmt
 
 
 def format_one(fmt: str, text: str | None, content: bytes | None) -> str:
@@ -123,11 +123,7 @@ def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[s
     """The document with new texts for its blocks; blocks without one keep theirs."""
     if skeleton == "":
         return None, original
-    look = lambda tag, h: styles.get((tag, h))
-    filled = fill(skeleton, new, s)
-    markup = expand_text(normalise_text(filled, s.extend), look)
-    root = parse(re.sub(r' tf-unique="\d+"', "", markup))
-    restore_spaces(root, keep=s.stream != "apertium", added=fmt != "tei")
+    root = _rendered(skeleton, styles, new, s, added=fmt != "tei")
     edit = s.hook or (lambda x: x)
     hook = lambda x: edit(unshielded(x))
     if fmt in ZIPPED:
@@ -137,7 +133,52 @@ def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[s
         return hook(formats.tei_out(root)), None
     if fmt in ("text", "line"):
         return hook(formats.text_out(root, fmt == "line")), None
-    return hook(formats.fragment_out(root, look) if fmt == "html-fragment" else formats.html_out(root, doctype, look)), None
+    return _page_out(fmt, root, doctype, styles, s), None
+
+
+def clean_page(fmt: str, text: str, s: Settings) -> tuple[str, str] | None:
+    """The format and the page with normalised spans, by one tree: what ``extract_one`` and ``render_one`` make of it.
+
+    Spans that no rule changes come back as the elements they were, and so do all other elements; only elements with
+    other spans go the long way, each by itself, as no rule reaches beyond a tag. None if the page is not of that kind.
+    """
+    text = shielded(text)
+    fmt = _page_format(fmt, text)
+    if fmt not in ("html", "html-fragment") or s.stream == "apertium":
+        return None
+    found, classes = Found(), s.classes(fmt)
+    html = formats.page_markup(text, found)
+    if "tf-" in html:  # notes of its own, and those of rewrites
+        return None
+    root = parse(html, html=True)
+    units = changing(root, classes)
+    if units is None:
+        return None
+    for n in units:
+        own, part = Found(), Node("r")
+        part.kids = [n]
+        finish(keep_regions(formats.styled_tree(part, classes, own), s.stream, own), classes, own, s.extend, s.extract_more, s.mangle_xml)
+        kids = _rendered(own.skeleton, own.styles, None, s).kids
+        at = next(i for i, k in enumerate(n.up.kids) if k is n)
+        n.up.kids[at : at + 1] = kids
+        for k in kids:
+            k.up = n.up
+    return fmt, _page_out(fmt, root, _doctype(text), found.styles, s)
+
+
+def _rendered(skeleton: str, styles: dict, new: dict[str, str] | None, s: Settings, added: bool = True) -> Node:
+    """The tree of a skeleton with new texts."""
+    filled = fill(skeleton, new, s)
+    markup = expand_text(normalise_text(filled, s.extend), lambda tag, h: styles.get((tag, h)))
+    root = parse(re.sub(r' tf-unique="\d+"', "", markup))
+    restore_spaces(root, keep=s.stream != "apertium", added=added)
+    return root
+
+
+def _page_out(fmt: str, root: Node, doctype: bool, styles: dict, s: Settings) -> str:
+    look = lambda tag, h: styles.get((tag, h))
+    out = unshielded(formats.fragment_out(root, look) if fmt == "html-fragment" else formats.html_out(root, doctype, look))
+    return s.hook(out) if s.hook else out
 
 
 def _prepared(docs: DataFrame, s: Settings, id_col: str, content: str, name: str | None) -> DataFrame:
@@ -300,6 +341,8 @@ def clean(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
         return prepared.select(F.col("id").alias(id_col), "format", text.alias("text"), "content")
 
     def one(fmt: str, text: str | None, data: bytes | None) -> tuple:
+        if text is not None and fmt in ("html", "html-fragment") and (page := clean_page(fmt, text, s)):
+            return *page, None
         fmt, found = extract_one(fmt, text, data, s)
         return fmt, *render_one(fmt, _doctype(text), found.skeleton, found.styles, None, data, s)
 

@@ -537,3 +537,34 @@ def test_empty_tei_elements_come_back_as_written():
     for text in ("<text></text>", "<text/>", "<text><p>a<pb/> b <seg></seg>c</p><p></p><p/></text>", '<text><p>a tf-added-before="1" b<lb/>c</p></text>'):
         whole = f"{head}{text}</TEI>\n"
         assert round_trip(whole, "tei") == whole
+
+
+def test_pages_cleaned_by_one_tree_are_those_of_the_long_way():
+    import random
+
+    s, r = Settings(stream="visl"), random.Random(5)
+    tags = "<p> </p> <b> </b> <i> </i> <a_href=x> </a> <br> <div> </div> <ul><li> </li> <script> a<b </script> <!--_c_--> <?pi_x?> <pre> </pre> <ruby> </ruby> <svg> </svg> <td> </table> <h1_title='q_&amp;_r'> <img_alt='z_'> <b></b> <x> </x> <style> </style> <p_a=1_A=2> <![CDATA[q_<_z]]> </head> <body_c=d> <sub> </sub>".replace("'", '"').split()
+    words = ["a", " ", "b c", " d", "e ", "é", "-", ".", "\n", "&amp;", "&lt;x", "&", "&quot;", "'", "\xa0", "x"]
+    taken = 0
+    for _ in range(4000):
+        text = "".join(r.choice(tags).replace("_", " ") if r.random() < 0.45 else r.choice(words) for _ in range(r.randint(1, 22)))
+        if r.random() < 0.7:
+            text = f"<!DOCTYPE html>\n<html><head><meta charset='x'></head><body>{text}</body></html>"
+        got = engine.clean_page("html", text, s)
+        if got:
+            fmt, found = extract_one("html", text, None, s)
+            assert got == (fmt, render_one(fmt, "<!doctype" in text.lower(), found.skeleton, found.styles, None, None, s)[0]), text
+            taken += 1
+    assert taken > 2000
+
+
+def test_pages_are_cleaned_by_one_tree(monkeypatch):
+    """Only elements with spans that change go the long way."""
+    seen = []
+    monkeypatch.setattr(engine, "finish", lambda styled, *a, **k: (seen.append(styled), engine_finish(styled, *a, **k))[1])
+    page = "<!DOCTYPE html>\n<html><head></head><body>" + "<p>a <b><i>x</i></b> c</p><h1>y</h1>" * 50 + "<p>in<i>side</i></p></body></html>\n"
+    assert engine.clean_page("html", page, Settings(stream="visl"))[1] == page.replace("in<i>side", "<i>inside")
+    assert len(seen) == 1 and len(seen[0]) < 50
+
+
+engine_finish = engine.finish
