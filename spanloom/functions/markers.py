@@ -45,6 +45,11 @@ def shielded(text: str) -> str:
     return text.translate(_AWAY) if _any_of(_OWN, text) else text
 
 
+def has_marks(text: str) -> bool:
+    """Whether marker characters stand in a text."""
+    return _any_of(_OWN, text)
+
+
 def unshielded(text: str) -> str:
     return text.translate(_HOME) if _any_of(_SHIELDS, text) else text
 

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import style_hash
-from ..functions.markers import CHARSET, LOOSE, RAW_B, RAW_E, Rules, rewrite, rewrite_text
+from ..functions.markers import BLANKS, BLOCK_B, BLOCK_E, BLOCK_M, BLOCK_N, CHARSET, LOOSE, RAW_B, RAW_E, Rules, has_marks, rewrite, rewrite_text
 from ..functions.text import lower_ascii
 from .spans import OneOf, Styles, restore_raw
-from .tree import Found, Node, TagClasses, escape, parse, save_spaces, serialise, tag_spans
+from .tree import Found, Node, TagClasses, attribute, escape, has_content, parse, save_spaces, serialise, tag_spans, unescape
 
 
 def _names(text: str) -> frozenset[str]:
@@ -168,6 +168,63 @@ def text_as_html(text: str, by_line: bool) -> str:
     return f"{_FRAGMENT_HEAD}<p>{body}</p>{_FRAGMENT_TAIL}".replace("</body></html>", "</body>\n</html>")
 
 
+_LINES_HEAD = f'\n<html tf-space-before="&#10;" tf-space-suffix="&#10;"><head><meta charset="{CHARSET}"/></head><body>'
+_LINES_TAIL = "</body>\n</html>"
+_LINE = re.compile(f'<p((?: tf-space-(?:prefix|suffix|after)="[^"]*")*)(?:/>|>(?:{BLOCK_B}([^{BLOCK_M}]*){BLOCK_M}([^<>{BLOCK_B}-{BLOCK_E}]*){BLOCK_N}\\2{BLOCK_E}|([^<>{BLOCK_B}-{BLOCK_E}]*))</p>)')
+_NOTE = re.compile(' tf-space-(prefix|suffix)="([^"]*)"')
+
+
+def line_blocks(text: str, found: Found, more: bool = False, mangled: bool = False) -> None:
+    """What extraction finds in the page that ``text_as_html`` makes of lines; no page is made."""
+    lines = text.replace("\u00ad", "").split("\n")
+    out: list[str] = []
+    last = len(lines) - 1
+    for i, x in enumerate(lines):
+        notes = ""
+        if x and (x[0] in BLANKS or x[-1] in BLANKS):
+            solid = x.strip(BLANKS)
+            lead, tail = (x[: len(x) - len(x.lstrip(BLANKS))], x[len(x.rstrip(BLANKS)) :]) if solid else (x, "")
+            notes = "".join(attribute(f"tf-space-{k}", v) for k, v in (("prefix", lead), ("suffix", tail)) if v)
+        if i < last:
+            notes += ' tf-space-after="&#10;"'
+        if not x:
+            out.append(f"<p{notes}/>")
+            continue
+        safe = escape(x, quotes=False)
+        if has_content(x, more):
+            begin, end = found.block(x, mangled)
+            safe = f"{begin}{safe}{end}"
+        out.append(f"<p{notes}>{safe}</p>")
+    found.skeleton = f"{_LINES_HEAD}{'\n'.join(out)}{_LINES_TAIL}"
+
+
+def lines_out(skeleton: str, new: dict[str, str], keep: bool) -> str | None:
+    """Lines with new texts for their blocks, of a skeleton by ``line_blocks``; None if it is another, or a text has marks."""
+    if not (skeleton.startswith(_LINES_HEAD) and skeleton.endswith(_LINES_TAIL)):
+        return None
+    out: list[str] = []
+    for part in skeleton[len(_LINES_HEAD) : -len(_LINES_TAIL)].split("\n"):
+        m = _LINE.fullmatch(part)
+        if not m:
+            return None
+        notes, block_id, own, other = m.groups()
+        text = new.get(block_id) if block_id is not None else None
+        if text is None:
+            text = unescape(own or other or "", False)
+        elif has_marks(text):
+            return None
+        if keep and "fix=" in notes:
+            noted = {k: unescape(v, False) for k, v in _NOTE.findall(notes)}
+            lead, tail = noted.get("prefix"), noted.get("suffix")
+            if text.strip(BLANKS):
+                text = text if lead is None else lead + text.lstrip(BLANKS)
+                text = text if tail is None else text.rstrip(BLANKS) + tail
+            else:
+                text = f"{lead or ''}{tail or ''}"
+        out.append(text)
+    return "\n".join(out)
+
+
 def clean_text(text: Column, by_line: bool) -> Column:
     """What extraction and injection make of a plain text, as an expression."""
     if not by_line:

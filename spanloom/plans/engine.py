@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,6 +96,9 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
         return fmt, found
     text = shielded(text)
     fmt = _page_format(fmt, text)
+    if fmt == "line" and not s.tags:
+        formats.line_blocks(text, found, s.extract_more, s.mangle_xml)
+        return fmt, found
     classes = s.classes(fmt)
     if fmt == "tei":
         styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found, pairs=True)
@@ -123,9 +127,11 @@ def render_one(fmt: str, doctype: bool, skeleton: str, styles: dict, new: dict[s
     """The document with new texts for its blocks; blocks without one keep theirs."""
     if skeleton == "":
         return None, original
-    root = _rendered(skeleton, styles, new, s, added=fmt != "tei")
     edit = s.hook or (lambda x: x)
     hook = lambda x: edit(unshielded(x))
+    if fmt == "line" and not s.inject_raw and (lines := formats.lines_out(skeleton, new or {}, s.stream != "apertium")) is not None:
+        return hook(lines), None
+    root = _rendered(skeleton, styles, new, s, added=fmt != "tei")
     if fmt in ZIPPED:
         back = {"docx": office.docx_out, "pptx": office.pptx_out}.get(fmt, office.odt_out)
         return None, back(root, original, hook)
@@ -194,6 +200,16 @@ def _prepared(docs: DataFrame, s: Settings, id_col: str, content: str, name: str
     return docs.select(F.col(id_col).alias("id"), fmt.alias("format"), text.alias("text"), (F.when(zipped, col) if binary else F.lit(None).cast("binary")).alias("content"))
 
 
+def _array(values: list, kind: pa.DataType) -> pa.Array:
+    """``values`` as an array; lists of records go by column, which is faster than record by record."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, type=kind)
+    each = [x for v in values for x in v]
+    columns = [pa.array([x[f.name] for x in each], type=f.type) for f in kind.value_type]
+    ends = pa.array([0, *accumulate(map(len, values))], type=pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind)
+
+
 def _map(df: DataFrame, one: Callable[..., tuple], out: list, ddl: str, id_col: str) -> DataFrame:
     """Rows to rows, one Arrow batch at a time; the first column is the id and stays."""
     small_batches(df.sparkSession)
@@ -203,7 +219,7 @@ def _map(df: DataFrame, one: Callable[..., tuple], out: list, ddl: str, id_col:
         for b in batches:
             rows = [one(*values) for values in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]
-            arrays = [pa.array(list(c), type=t) for c, (_, t) in zip(columns, out, strict=True)]
+            arrays = [_array(list(c), t) for c, (_, t) in zip(columns, out, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=[id_col, *(n for n, _ in out)])
 
     return df.mapInArrow(run, f"`{id_col}` {id_type}, {ddl}")

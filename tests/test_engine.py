@@ -568,3 +568,32 @@ def test_pages_are_cleaned_by_one_tree(monkeypatch):
 
 
 engine_finish = engine.finish
+
+
+def test_lines_without_a_page_are_those_of_the_page():
+    import random
+
+    from spanloom.functions.markers import shielded
+    from spanloom.operators import formats, tree
+
+    r = random.Random(1)
+    parts = ["a", " ", "\t", "\n", "\n\n", "&", "&amp;", "<b>", '"', "'", "­", "é", "-", "_", "\xa0", "\r", "\x85", OPEN_B, "charset=x", "&shy;", "😀"]
+    for _ in range(2000):
+        s = Settings(format="line", stream=r.choice(["visl", "cg", "apertium"]), extract_more=r.random() < 0.3, mangle_xml=r.random() < 0.3)
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        want, classes = tree.Found(), s.classes("line")
+        styled = formats.styled_html(formats.text_as_html(shielded(text), True), s.stream, classes, want)
+        tree.finish(styled, classes, want, s.extend, s.extract_more, s.mangle_xml)
+        got = extract_one("line", text, None, s)[1]
+        assert got == want, text
+        new = {b["block_id"]: r.choice(["", "  ", "n", " n ", "<i>&", "n\tm", b["body"].upper(), f"{OPEN_B}b:x{OPEN_E}y{CLOSE}"]) for b in want.blocks if r.random() < 0.7}
+        page = engine.unshielded(formats.text_out(engine._rendered(want.skeleton, {}, new, s), True))
+        assert render_one("line", False, got.skeleton, {}, new, None, s)[0] == page, (text, new)
+
+
+def test_lines_are_not_parsed(monkeypatch):
+    monkeypatch.setattr(engine, "parse", None)
+    s = Settings(format="line", stream="visl")
+    found = extract_one("line", "a b\n--\n c", None, s)[1]
+    assert [b["body"] for b in found.blocks] == ["a b", " c"]
+    assert render_one("line", False, found.skeleton, {}, {found.blocks[1]["block_id"]: "D"}, None, s)[0] == "a b\n--\n D"
