@@ -34,7 +34,8 @@ FROM ({_LINES}) WHERE regexp_matches(part, {_q(CONTENT)})"""
 
 def _elements(kinds: list, first: int = 0) -> Column:
     """The document's lines as elements, by number; a kind is a function of the escaped line and its number."""
-    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(F.translate(x, "­", ""), f"^{BLANK}+", ""), f"{BLANK}+\\z", ""))
+    plain = F.replace("text", F.lit("­"), F.lit(""))
+    trimmed = F.transform(F.split(plain, "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, f"^{BLANK}+", ""), f"{BLANK}+\\z", ""))
     lines = F.filter(trimmed, lambda x: x.rlike(CONTENT))
 
     def one(x: Column, k: Column) -> Column:

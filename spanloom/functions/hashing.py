@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import base64
+import functools
+from binascii import b2a_base64
 
 import pandas as pd
 import xxhash
@@ -19,11 +20,17 @@ def utf8(text: str) -> bytes:
 
 def short_hash(text: str) -> str:
     """base64url of the little-endian XXH32 (seed 0) of the text, without padding."""
-    return base64.urlsafe_b64encode(xxhash.xxh32_intdigest(utf8(text), 0).to_bytes(4, "little")).decode().rstrip("=")
+    return b2a_base64(xxhash.xxh32_digest(utf8(text), 0)[::-1])[:6].translate(_URL).decode()
+
+
+_URL = bytes.maketrans(b"+/", b"-_")
+_short_hash_seen = functools.lru_cache(8192)(short_hash)
 
 
 def style_hash(otag: str, ctag: str) -> str:
-    return short_hash(otag + HASH_SEP + ctag)
+    """Of the tags of a style. Few styles come often, so those that are short are kept."""
+    both = otag + HASH_SEP + ctag
+    return (_short_hash_seen if len(both) < 512 else short_hash)(both)
 
 
 @F.pandas_udf(T.StringType())

@@ -112,11 +112,8 @@ def by_name(name: Column) -> Column:
 
 def by_text(text: Column) -> Column:
     """The format that a text's tags show."""
-    low = lower_ascii(text)
-    some = F.lit(False)
-    for tag in FRAGMENT_TAGS:
-        some = some | low.contains(tag)
-    return F.when(low.contains("</html>"), "html").when(low.contains("</tei>"), "tei").when(some, "html-fragment").otherwise("text")
+    has = lambda *tags: text.rlike(f"(?i){'|'.join(tags)}")  # noqa: E731 - ASCII letters alone, and no copy of the text
+    return F.when(text.contains("</html>") | has("</html>"), "html").when(has("</tei>"), "tei").when(has(*FRAGMENT_TAGS), "html-fragment").otherwise("text")
 
 
 def is_zip(content: Column) -> Column:

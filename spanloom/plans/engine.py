@@ -10,6 +10,7 @@ format, or a document that can't be opened, keeps its bytes and has no blocks.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -47,7 +48,16 @@ class Settings:
         if self.stream not in ("apertium", "visl", "cg"):
             raise ValueError(f"no stream format {self.stream}")
 
+    @functools.cached_property
+    def _classes(self) -> dict[str, TagClasses]:
+        return {}
+
     def classes(self, fmt: str) -> TagClasses:
+        if fmt not in self._classes:
+            self._classes[fmt] = self._made(fmt)
+        return self._classes[fmt]
+
+    def _made(self, fmt: str) -> TagClasses:
         base = {"tei": formats.TEI_TAGS, "odt": formats.ODT_TAGS, "odp": formats.ODT_TAGS, "docx": formats.DOCX_TAGS, "pptx": formats.PPTX_TAGS}.get(fmt, formats.HTML_TAGS)
         if self.mark_headers and base is formats.HTML_TAGS:
             base = base.overridden(formats.HTML_HEADERS)
@@ -75,22 +85,26 @@ def format_one(fmt: str, text: str | None, content: bytes | None) -> str:
     return fmt if text is None or fmt in ZIPPED else _page_format(fmt, shielded(text))
 
 
-def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings) -> tuple[str, Found]:
-    """The format and what is found in one document."""
+def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings, want: str = "all") -> tuple[str, Found]:
+    """The format and what is found in one document; ``want``: blocks, or styles, if nothing else is asked for."""
     found = Found()
+
+    def done(styled: str, pairs: bool = False) -> None:
+        if want != "styles":
+            finish(styled, classes, found, s.extend, s.extract_more, s.mangle_xml, pairs, skeleton=want == "all")
+
     if fmt in ("zip", *ZIPPED):
         parts = office.members(content or b"")
         fmt = office.zip_format(parts) if fmt == "zip" else fmt
         classes = s.classes(fmt)
-        more = (s.extend, s.extract_more, s.mangle_xml)
         if fmt == "docx" and (main := office.docx_main(parts)):
-            finish(office.styled_runs(shielded(office.undeclared(parts[main])), "w", found, s.extend), classes, found, *more)
+            done(office.styled_runs(shielded(office.undeclared(parts[main])), "w", found, s.extend))
         elif fmt == "pptx" and (names := office.slides(parts)):
             xml = "<tf-slides>" + "".join(shielded(office.undeclared(parts[n])) for n in names) + "</tf-slides>"
-            finish(office.styled_runs(xml, "a", found, s.extend), classes, found, *more)
+            done(office.styled_runs(xml, "a", found, s.extend))
         elif fmt in ("odt", "odp") and parts.get("content.xml"):
             xml = formats.same_odt_styles(rewrite_text(shielded(office.undeclared(parts["content.xml"])), formats.ODT_CHAFF))
-            finish(keep_regions(formats.styled_tree(parse(xml), classes, found), s.stream, found), classes, found, *more)
+            done(keep_regions(formats.styled_tree(parse(xml), classes, found), s.stream, found))
         return fmt, found
     if text is None:
         return fmt, found
@@ -104,7 +118,7 @@ def extract_one(fmt: str, text: str | None, content: bytes | None, s: Settings)
         styled = formats.styled_tree(parse(formats.lb_apart(text)), classes, found, pairs=True)
     else:
         styled = formats.styled_html(formats.text_as_html(text, fmt == "line") if fmt in ("text", "line") else text, s.stream, classes, found)
-    finish(keep_regions(styled, s.stream, found), classes, found, s.extend, s.extract_more, s.mangle_xml, pairs=fmt == "tei")
+    done(keep_regions(styled, s.stream, found), pairs=fmt == "tei")
     return fmt, found
 
 
@@ -204,12 +218,17 @@ def _array(values: list, kind: pa.DataType) -> pa.Array:
     """``values`` as an array; lists of records go by column, which is faster than record by record."""
     if not pa.types.is_list(kind):
         return pa.array(values, type=kind)
-    each = [x for v in values for x in v]
-    columns = [pa.array([x[f.name] for x in each], type=f.type) for f in kind.value_type]
+    columns = _columns(values, kind)
     ends = pa.array([0, *accumulate(map(len, values))], type=pa.int32())
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind)
 
 
+def _columns(values: list, kind: pa.DataType) -> list[pa.Array]:
+    """The records of all lists, one behind the other, by column."""
+    each = [x for v in values for x in v]
+    return [pa.array([x[f.name] for x in each], type=f.type) for f in kind.value_type]
+
+
 def _map(df: DataFrame, one: Callable[..., tuple], out: list, ddl: str, id_col: str) -> DataFrame:
     """Rows to rows, one Arrow batch at a time; the first column is the id and stays."""
     small_batches(df.sparkSession)
@@ -225,6 +244,21 @@ def _map(df: DataFrame, one: Callable[..., tuple], out: list, ddl: str, id_col:
     return df.mapInArrow(run, f"`{id_col}` {id_type}, {ddl}")
 
 
+def _map_each(df: DataFrame, records: Callable[..., list], kind: pa.DataType, ddl: str, id_col: str) -> DataFrame:
+    """Rows to any number of records each, with the id before them."""
+    small_batches(df.sparkSession)
+    id_type = df.schema[0].dataType.simpleString()
+    names = [f.name for f in kind.value_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [records(*values) for values in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            of = pa.array([i for i, x in enumerate(found) for _ in x], type=pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), *_columns(found, kind)], names=[id_col, *names])
+
+    return df.mapInArrow(run, f"`{id_col}` {id_type}, {ddl}")
+
+
 def _doctype(text: str | None) -> bool:
     return "<!doctype" in (text or "").split("\n", 1)[0].lower()
 
@@ -235,21 +269,32 @@ def _styles(found: Found) -> list[dict]:
 
 @dataclass
 class State:
-    """What extraction leaves: one row for each document, with its blocks, styles and skeleton."""
+    """What extraction leaves: one row for each document, with its blocks, styles and skeleton.
+
+    ``prepared``: the documents, if the state isn't kept. Then blocks, and styles, are found by a
+    pass that does nothing else: no skeleton is written, and what is not asked for does not leave Python.
+    """
 
     extracted: DataFrame
     settings: Settings
     id_col: str = "doc_id"
+    prepared: DataFrame | None = None
 
     @property
     def blocks(self) -> DataFrame:
         """id, block_no, block_id, kind, attr_name, is_header, body, place (in the skeleton)."""
-        return self.extracted.select(self.id_col, F.inline("blocks"))
+        if self.prepared is None:
+            return self.extracted.select(self.id_col, F.inline("blocks"))
+        s = self.settings
+        return _map_each(self.prepared, lambda *row: extract_one(*row, s, "blocks")[1].blocks, _as_struct(_BLOCK), _BLOCK, self.id_col)
 
     @property
     def styles(self) -> DataFrame:
         """id, tag, hash, otag, ctag, flags; unique by the first three."""
-        return self.extracted.select(self.id_col, F.inline("styles"))
+        if self.prepared is None:
+            return self.extracted.select(self.id_col, F.inline("styles"))
+        s = self.settings
+        return _map_each(self.prepared, lambda *row: _styles(extract_one(*row, s, "styles")[1]), _as_struct(_STYLE), _STYLE, self.id_col)
 
     @property
     def skeleton(self) -> DataFrame:
@@ -276,7 +321,8 @@ def extract(docs: DataFrame, settings: Settings | None = None, id_col: str = "do
         fmt, found = extract_one(fmt, text, data, s)
         return fmt, _doctype(text), found.skeleton, data, found.blocks, _styles(found)
 
-    return State(_map(_prepared(docs, s, id_col, content, name), one, _EXTRACTED_ARROW, _EXTRACTED, id_col), s, id_col)
+    prepared = _prepared(docs, s, id_col, content, name)
+    return State(_map(prepared, one, _EXTRACTED_ARROW, _EXTRACTED, id_col), s, id_col, prepared)
 
 
 def found_formats(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", content: str = "text", name: str | None = None) -> DataFrame:

@@ -597,3 +597,60 @@ def test_lines_are_not_parsed(monkeypatch):
     found = extract_one("line", "a b\n--\n c", None, s)[1]
     assert [b["body"] for b in found.blocks] == ["a b", " c"]
     assert render_one("line", False, found.skeleton, {}, {found.blocks[1]["block_id"]: "D"}, None, s)[0] == "a b\n--\n D"
+
+
+def test_blocks_and_styles_alone_are_those_of_the_whole(spark):
+    """A state that isn't kept finds blocks, and styles, without a skeleton; they are those of the extraction."""
+    page = '<!DOCTYPE html>\n<html><head><title>t &am</title></head><body><img title="Bild &lt;b&gt;" alt="z"><p title="x">a <b><i>b</i></b> c<br>d &#38;amp; \'e\'</p><pre>no</pre><b><div>in <i> block</i> z</div></b><p> <u><s>all</s> </u></p></body></html>\n'
+    docs = spark.createDataFrame([(1, page), (2, None), (3, "<p>eins <i>zwei</i> drei</p>"), (4, "Grüße\n\nan alle")], "doc_id long, text string")
+    for stream in ("visl", "apertium"):
+        state = engine.extract(docs, Settings(stream=stream, mark_headers=True))
+        kept = engine.State(state.extracted, state.settings)
+        for part in ("blocks", "styles"):
+            got, want = getattr(state, part), getattr(kept, part)
+            assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+            assert "skeleton" not in got._jdf.queryExecution().optimizedPlan().toString()
+    places = {r.attr_name: (r.block_no, r.place) for r in kept.blocks.filter("doc_id = 1 AND kind = 'attribute' AND block_no < 4").collect()}
+    assert places == {"alt": (2, 2), "title": (3, 1)}
+
+
+def test_start_tags_are_read_once(monkeypatch):
+    """A tag that comes again under the same classes is looked up, whatever its texts and attributes."""
+    from spanloom.operators import formats, tree
+
+    classes = formats.HTML_TAGS.overridden({"inline": ["+", "zz"]})
+    read = []
+    monkeypatch.setattr(tree, "_one_tag", lambda part, real=tree._one_tag: (read.append(part), real(part))[1])
+    markup = '<p title="b" alt="a">x &amp; y</p><zz>q</zz>' * 500
+    alone, whole = tree.Found(), tree.Found()
+    assert tree.blocks_of_markup(markup, classes, alone, skeleton=False) and sorted(read) == ['<p title="b" alt="a">', "<zz>"]
+    tree.take_blocks(tree.parse(markup), classes, whole)
+    assert alone.blocks == whole.blocks and alone.skeleton == ""
+
+
+def test_inline_elements_are_asked_for_once():
+    """Whether inline elements fill their block or hold one, in nests and rows that would take squares of time one by one."""
+    import time
+
+    from spanloom.operators import formats, tree
+
+    def spans(markup):
+        found = tree.Found()
+        return tree.tag_spans(tree.parse(markup, html=True), formats.HTML_TAGS, found).count(OPEN_B)
+
+    assert spans("<p><i><b>a</b></i></p>") == 0 and spans("<p>x <i><b>a</b></i></p>") == 2
+    assert spans("<b>x<div>a <i>b</i></div></b>") == 1 and spans("<div>x <b>a<div>b</div></b> <i>c</i></div>") == 1
+    began = time.process_time()
+    assert spans("<p>x " + "<i>y <b>" * 20_000 + "z" + "</b></i>" * 20_000 + "</p>") == 40_000
+    assert spans("<p>" + "<i>y</i> " * 40_000 + "</p>") == 40_000
+    assert time.process_time() - began < 20
+
+
+def test_formats_by_tags_ignore_the_case_of_ascii_letters_alone(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import detect
+
+    texts = ["a</HTML>b", "</Tei>", "</STRONG>", "</ſ>", "x</ſpan>", "</ a>", "no", "", None, "</FONT>", "</q></html>"]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", detect.by_text(F.col("text")).alias("f"))
+    assert [r.f for r in sorted(got.collect())] == ["html", "tei", "html-fragment", "text", "text", "text", "text", "text", "text", "html-fragment", "html"]
