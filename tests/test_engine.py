@@ -646,6 +646,14 @@ def test_inline_elements_are_asked_for_once():
     assert time.process_time() - began < 20
 
 
+def test_runs_are_written_as_trees_are():
+    from spanloom.operators import tree
+
+    for xml in ('<a:r><a:rPr b="1"/><a:t>x &lt; "y"</a:t></a:r>', "<a:r><a:t/></a:r>", '<w:r><w:rPr><w:b/></w:rPr><w:t>a</w:t></w:r>', "<w:r>loose<w:t>a</w:t></w:r>", "<w:r><w:t>a</w:t><w:t>b</w:t><!-- c --></w:r>"):
+        run = tree.parse(xml).kids[0]
+        assert office._small(run) == tree.serialise(run)
+
+
 def test_formats_by_tags_ignore_the_case_of_ascii_letters_alone(spark):
     from pyspark.sql import functions as F
 
